@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import licenses, mixing, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op5_secrets": secrets.op5_secrets,
+    "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other queries are held against brute force in tests/llm.
+ORACLES = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
