@@ -27,9 +27,11 @@ MAX_TRAIN = 10_000
 VOCABULARY = 60_000
 MIN_DOCUMENTS = 4
 PREFIX = 4
-EPOCHS = 120
+#: Passes that select features, and passes that then fit the selected ones without a penalty.
+EPOCHS, REFIT = 80, 200
 RATE = 0.3
-L1 = 2e-5
+#: A feature stays out unless it is worth this many documents.
+L1_DOCUMENTS = 0.4
 #: Fixed values of the contract.
 FOLDS, HELD_OUT = 5, 0
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -69,22 +71,30 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[dict[str, float],
     doc = np.repeat(np.arange(len(bags)), counts)
     del ids, bags
     y, n = np.array(labels, bool), len(labels)
-    w, b, gw, gb = np.zeros(len(common)), -5.0, np.full(len(common), 1e-8), 1e-8
-    for _ in range(EPOCHS):
-        z = np.bincount(sentence, w[feature], len(sizes)) + b
-        log_no = -np.logaddexp(0, z)
-        p = np.exp(z + log_no)
-        none = np.exp(np.bincount(doc, log_no, n))
-        push = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)
-        g = push[doc] * p / n
-        step, up = np.bincount(feature, g[sentence], len(common)), g.sum()
-        gw += step**2
-        gb += up**2
-        rate = RATE / np.sqrt(gw)
-        w += rate * step
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-        b += RATE / np.sqrt(gb) * up
-    return {f: float(w[i]) for i, f in enumerate(common) if w[i]}, float(b)
+    w, b = np.zeros(len(common)), -5.0
+    for epochs, l1 in ((EPOCHS, L1_DOCUMENTS / n), (REFIT, 0.0)):
+        keep = np.flatnonzero(w) if l1 == 0 else np.arange(len(common))
+        place = np.full(len(common), -1)
+        place[keep] = np.arange(len(keep))
+        inside = place[feature] >= 0
+        f, s, v = place[feature[inside]], sentence[inside], w[keep]
+        gv, gb = np.full(len(keep), 1e-8), 1e-8
+        for _ in range(epochs):
+            z = np.bincount(s, v[f], len(sizes)) + b
+            log_no = -np.logaddexp(0, z)
+            p = np.exp(z + log_no)
+            none = np.exp(np.bincount(doc, log_no, n))
+            g = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)[doc] * p / n
+            step, up = np.bincount(f, g[s], len(keep)), g.sum()
+            gv += step**2
+            gb += up**2
+            rate = RATE / np.sqrt(gv)
+            v = v + rate * step
+            v = np.sign(v) * np.maximum(np.abs(v) - rate * l1, 0)
+            b += RATE / np.sqrt(gb) * up
+        w = np.zeros(len(common))
+        w[keep] = v
+    return {x: float(w[i]) for i, x in enumerate(common) if w[i]}, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
