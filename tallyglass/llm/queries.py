@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, secrets, simhash, url_filter
+from . import decontaminate, language, licenses, mixing, secrets, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
     "op8_mixing": mixing.op8_mixing,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 
