@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, held_out, table
+from .common import broadcast_if_small, held_out, table, written
 
-MAX_TRAIN = 10_000
+MAX_TRAIN = 8_000
 VOCABULARY = 60_000
 MIN_DOCUMENTS = 4
 PREFIX = 4
@@ -49,38 +49,63 @@ def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
-def train(texts: list[str | None], labels: list[int]) -> tuple[dict[str, float], float]:
-    """(weights, bias), by proximal AdaGrad on the mean negative log-likelihood of the noisy-or."""
-    bags = [[w for _, _, w in sentence_words(t or "")] for t in texts]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n): in how many of the texts each feature stands."""
     seen: Counter[str] = Counter()
-    for bag in bags:
-        seen.update({f for s in bag for w in s for f in _features(w)})
-    common = sorted((f for f, n in seen.items() if n >= MIN_DOCUMENTS), key=lambda f: (-seen[f], f))[:VOCABULARY]
-    number = {f: i for i, f in enumerate(common)}
-    del seen
-    ids, sizes, counts = [], [], []
-    for bag in bags:
-        counts.append(len(bag))
-        for s in bag:
-            here = [i for w in s for f in _features(w) if (i := number.get(f)) is not None]
-            ids.append(np.array(here, np.int32))
-            sizes.append(len(here))
-    if not ids or not any(labels):
-        return {}, -50.0
-    feature, sentence = np.concatenate(ids), np.repeat(np.arange(len(sizes)), sizes)
-    doc = np.repeat(np.arange(len(bags)), counts)
-    del ids, bags
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update({f for _, _, words in sentence_words(text or "") for w in words for f in _features(w)})
+        if len(seen) > 300_000:
+            yield flush()
+            seen.clear()
+    yield flush()
+
+
+def _encoder(number: dict[str, int]):
+    """toxic, the feature numbers of all sentences one after the other, and the sentences' lengths, of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                own, lengths = [], []
+                for _, _, words in sentence_words(text or ""):
+                    here = [i for w in sorted(words) for f in _features(w) if (i := number.get(f)) is not None]
+                    own += here
+                    lengths.append(len(here))
+                ids.append(np.array(own, np.int32))
+                sizes.append(np.array(lengths, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), batch.column(2)], ["toxic", "ids", "sizes", "doc_id"])
+
+    return run
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) of `size` features, by proximal AdaGrad on the mean log-likelihood of the noisy-or.
+
+    bags: of each document the features of its sentences, one after the other, and the sentences' lengths.
+    """
     y, n = np.array(labels, bool), len(labels)
-    w, b = np.zeros(len(common)), -5.0
+    lengths = np.concatenate([s for _, s in bags]) if bags else np.zeros(0, np.int32)
+    if not y.any() or not len(lengths) or not size:
+        return np.zeros(size), -50.0
+    feature = np.concatenate([f for f, _ in bags])
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(s) for _, s in bags])
+    w, b = np.zeros(size), -5.0
     for epochs, l1 in ((EPOCHS, L1_DOCUMENTS / n), (REFIT, 0.0)):
-        keep = np.flatnonzero(w) if l1 == 0 else np.arange(len(common))
-        place = np.full(len(common), -1)
+        keep = np.flatnonzero(w) if l1 == 0 else np.arange(size)
+        place = np.full(size, -1, np.int32)
         place[keep] = np.arange(len(keep))
         inside = place[feature] >= 0
         f, s, v = place[feature[inside]], sentence[inside], w[keep]
         gv, gb = np.full(len(keep), 1e-8), 1e-8
         for _ in range(epochs):
-            z = np.bincount(s, v[f], len(sizes)) + b
+            z = np.bincount(s, v[f], len(lengths)) + b
             log_no = -np.logaddexp(0, z)
             p = np.exp(z + log_no)
             none = np.exp(np.bincount(doc, log_no, n))
@@ -92,19 +117,29 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[dict[str, float],
             v = v + rate * step
             v = np.sign(v) * np.maximum(np.abs(v) - rate * l1, 0)
             b += RATE / np.sqrt(gb) * up
-        w = np.zeros(len(common))
+        w = np.zeros(size)
         w[keep] = v
-    return {x: float(w[i]) for i, x in enumerate(common) if w[i]}, float(b)
+    return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
-    """A model of about max_train documents of docs with a label in `labels` (doc_id, toxic); null labels don't count, of several the highest does."""
+    """(weights, bias) of about max_train documents of docs with a label in `labels` (doc_id, toxic).
+
+    Null labels don't count, of several the highest does. The texts stay on the executors: the driver gets the
+    VOCABULARY most frequent features and the sample's feature numbers.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     share = min(1.0, max_train / total) if total else 0.0
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(chosen, 2 * max_train), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    sample = written(docs.select("doc_id", "text").join(broadcast_if_small(chosen, 2 * max_train), "doc_id").select("toxic", "text", "doc_id"))
+    counts = sample.select("text").mapInArrow(_count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    common = [r["feature"] for r in counts.where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "feature").limit(VOCABULARY).collect()]
+    encode = _encoder({f: i for i, f in enumerate(common)})
+    rows = sample.mapInArrow(encode, "toxic int, ids array<int>, sizes array<int>, doc_id long").orderBy("doc_id").toArrow()
+    lists = [[rows.column(k)[i].values.to_numpy(zero_copy_only=False) for i in range(len(rows))] for k in (1, 2)]
+    weights, bias = train(list(zip(*lists, strict=True)), rows.column(0).to_pylist(), len(common))
+    return {common[i]: float(weights[i]) for i in np.flatnonzero(weights)}, bias
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
