@@ -145,33 +145,37 @@ def fit_prototypes(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     return [langs[i] for i in full], _unit(found[full]).astype(np.float32)
 
 
-def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """(doc_id, lang_pred, score): one row for each row of docs, of the whole text.
+def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with lang_pred and score: one row for each row of docs, of the whole text.
 
-    lang_pred is UNKNOWN, with score 0, where the text is null or has no letter, or no language was learned.
+    lang_pred is UNKNOWN, with score 0, where the text is null or has no letter; null, with score 0, where no language
+    was learned.
     Equal cosines go to the language first by name. score: the cosine, 0 if negative. Null ids and repeated rows
-    each give a row; columns other than doc_id and text aren't read.
+    each give a row; an empty table gives an empty one.
     """
+    names = [*dict.fromkeys([*keep, "text"])]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, scores = [], []
+            texts = batch.column(names.index("text")).to_pylist()
+            found, scores = [], []
             for part in _chunks(texts):
                 units = _unit(bundles(texts[part]))
                 cosine = units @ prototypes.T if langs else np.zeros((len(units), 1), np.float32)
                 best = cosine.argmax(1)
-                known = units.any(1) & bool(langs)
-                names += [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                known = units.any(1)
+                found += [(langs[b] if langs else None) if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 scores += np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float).round(6).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            kept = [batch.column(names.index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    result = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(*names).mapInArrow(predict, result)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """classify() by what the documents that aren't held out teach."""
-    return classify(docs, *fit_prototypes(docs.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))))
+    return classify(docs, *fit_prototypes(docs.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))), keep)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

@@ -99,10 +99,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The mix itself: one row a taken copy with its copy number, words and virtual_finish, range-sorted by that."""
+    """The mix itself: one row a taken copy with its copy number, words and virtual_finish, range-sorted by that.
+
+    Where docs has text, the copy that is cut has its first words only, with single spaces.
+    """
     mixed = mix(docs, weights, seed)
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))))
     words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("copy")))
+    if "text" in docs.columns:
+        first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), 1, words.cast("int")), " ")
+        copies = copies.withColumn("text", F.when(words < F.col("size"), F.when(words > 0, first_words)).otherwise(F.col("text")))
     finish = F.col("virtual_start") + (F.col("source_size") * F.col("copy") + F.col("size")) / F.col("target")
     return copies.withColumn("words", words).where("words > 0").withColumn("virtual_finish", finish).orderBy("virtual_finish", "doc_id", "copy")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, secrets, simhash, toxicity, url_filter
+from . import decontaminate, language, licenses, mixing, quality, secrets, simhash, spotsigs, toxicity, url_filter
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
+    "op6_spotsigs": spotsigs.op6_spotsigs,
+    "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,

@@ -52,4 +52,4 @@ def test_odd_rows(odd):
     assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 5)} == {"und"}
     assert all(r.score == 0 for r in rows if r.lang_pred == "und")
     assert language.identify(odd.where("false")).count() == 0
-    assert {r.lang_pred for r in language.classify(odd, [], np.zeros((0, language.DIM))).collect()} == {"und"}
+    assert {r.lang_pred for r in language.classify(odd, [], np.zeros((0, language.DIM))).collect()} == {"und", None}
