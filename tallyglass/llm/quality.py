@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, table, written
 
-VOCABULARY = 4_000
+VOCABULARY = 300
 VOCABULARY_TEXTS = 20_000
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 6_000_000
 #: One in CALIBRATE trusted texts is kept out of the counts; the thresholds are quantiles of their perplexity, as
 #: texts that were counted have less than others like them.
 CALIBRATE = 5
@@ -39,16 +39,27 @@ BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Start, end, then the classes of words outside the vocabulary.
 START, END, FIRST_CLASS = 0, 1, 2
-CLASSES = ("lower", "title", "upper", "mixed", "number", "sign")
+CLASSES = ("lower short", "lower", "lower long", "title short", "title", "upper short", "upper", "mixed", "number", "sign", "sign run", "sign mix")
 FIRST_WORD = FIRST_CLASS + len(CLASSES)
 LANGUAGES = 1 << 15
 
 
 def word_class(token: str) -> int:
+    """Class by letters and length: what is rare in trusted text must not share a class with what isn't."""
+    n = len(token)
     if token.isalpha():
-        kind = 0 if token.islower() else 2 if token.isupper() and len(token) > 1 else 1 if token.istitle() else 3
+        if token.islower():
+            kind = 0 if n <= 4 else 1 if n <= 9 else 2
+        elif token.isupper() and n > 1:
+            kind = 5 if n <= 3 else 6
+        else:
+            kind = (3 if n <= 4 else 4) if token.istitle() else 7
+    elif any(map(str.isalpha, token)):
+        kind = 7
+    elif any(map(str.isdigit, token)):
+        kind = 8
     else:
-        kind = 3 if any(map(str.isalpha, token)) else 4 if any(map(str.isdigit, token)) else 5
+        kind = 9 if n == 1 else 10 if len(set(token)) == 1 else 11
     return FIRST_CLASS + kind
 
 
