@@ -97,3 +97,22 @@ def hamming_join(hashes: DataFrame, threshold: int, words: tuple[str, ...] = ("h
     equal = left.join(twin, [f"{w}_a" for w in words]).where("id_x < id_y").select("id_x", "id_y", F.lit(0).alias("distance"))
     both = apart.unionByName(equal)
     return both.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance")
+
+
+def hamming_blocks(hashes: DataFrame, threshold: int, blocks: int = 16, same: str | None = None) -> DataFrame:
+    """(id_a, id_b, distance) with id_a < id_b, for thresholds at which bands prune nothing: every pair of blocks of rows meets in an equi-join.
+
+    same: a column that both rows must share; it then takes the place of the blocks.
+    """
+    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
+    if same:
+        a, b = hashes.select(same, F.col("id").alias("id_a"), F.col("hash").alias("hash_a")), hashes.select(same, F.col("id").alias("id_b"), F.col("hash").alias("hash_b"))
+        pairs = a.join(b, same).where("id_a < id_b")
+        return pairs.withColumn("distance", distance).where(F.col("distance") <= threshold).select(same, "id_a", "id_b", "distance")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    own = hashes.withColumn("k", block)
+    a = own.select(F.col("id").alias("id_x"), F.col("hash").alias("hash_a"), F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(blocks - 1))).alias("j"))
+    b = own.select(F.col("id").alias("id_y"), F.col("hash").alias("hash_b"), F.col("k").alias("j"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    once = (F.col("i") < F.col("j")) | (F.col("id_x") < F.col("id_y"))
+    pairs = a.join(b, ["i", "j"]).where(once).withColumn("distance", distance).where(F.col("distance") <= threshold)
+    return pairs.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance")
