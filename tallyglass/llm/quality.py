@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, table, written
 
-VOCABULARY = 300
+VOCABULARY = 250
 VOCABULARY_TEXTS = 20_000
 BLOCK_TOKENS = 6_000_000
 #: One in CALIBRATE trusted texts is kept out of the counts; the thresholds are quantiles of their perplexity, as
@@ -192,7 +192,7 @@ def log_probabilities(wanted: DataFrame, counts: DataFrame, words: int) -> DataF
     p1 = _model(F.col("t1.n"), "x1", F.col("x1.total"), d1, F.lit(1.0 / words))
     p2 = _model(F.col("t2.n"), "x2", F.col("x2.total"), d2, p1)
     p3 = _model(F.col("c"), "x3", F.col("x3.total"), d3, p2)
-    return rows.select("k3", F.ln(p3).alias("logp"))
+    return rows.select("k3", F.ln(p3).cast("float").alias("logp"))
 
 
 def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame:
@@ -231,7 +231,7 @@ def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame
             t = np.frombuffer(zlib.decompress(tokens), "<u2")
             k = trigrams(lang, t)
             n.append(len(t))
-            out.append(float(np.exp(-logp[np.searchsorted(keys, k)].mean())) if len(t) else None)
+            out.append(float(np.exp(-logp[np.searchsorted(keys, k)].mean(dtype=float))) if len(t) else None)
         return pd.DataFrame({"doc_id": texts["doc_id"], "lang": texts["lang"], "n_tokens": n, "perplexity": pd.Series(out, dtype="float64", index=texts.index)})
 
     texts = encoded.select("block", "doc_id", "lang", "lang_id", "tokens")
