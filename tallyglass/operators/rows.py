@@ -38,13 +38,13 @@ def identical_blocks(rows: DataFrame, columns: list[str], sizes: tuple[int, ...]
     """Runs of k rows that appear twice or more in a source (overlaps count), of 2k rows or more.
 
     (source, k, n, blocks, occurrences, max_occurrences, flagged). Sliding windows don't need a whole source in one
-    task: rows are cut into chunks of `chunk` places, and each chunk also gets the max(k) - 1 rows after it.
+    task: rows are cut into chunks of `chunk` places, and each chunk also gets the max(k) - 1 rows that follow.
     """
     most = max(sizes) - 1
     keyed = rows.select("source", "idx", row_key(columns).alias("key"))
     here = F.floor(F.col("idx") / chunk)
     back = F.floor((F.col("idx") - most) / chunk)
-    spread = keyed.select("source", "idx", "key", F.explode(F.when((back < here) & (here > 0), F.array(here, here - 1)).otherwise(F.array(here))).alias("chunk"))
+    spread = keyed.select("source", "idx", "key", F.explode(F.sequence(F.greatest(back, F.lit(0)), here)).alias("chunk"))
     w = Window.partitionBy("source", "chunk").orderBy("idx")
     ahead = [F.lead("key", j).over(w) for j in range(1, max(sizes))]
     cols = [F.col("key"), *ahead]

@@ -101,3 +101,12 @@ def markdown(findings: DataFrame, most: int = 10) -> DataFrame:
 def as_json(findings: DataFrame) -> DataFrame:
     """(value): one JSON document for each finding."""
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("value"))
+
+
+def detect_cells(cells: DataFrame) -> DataFrame:
+    """Column and pair detectors over the cell model of any number of tables with gaps."""
+    long = cells.select("source", "col_pos", "col", "idx", "value")
+    two = column_pairs(long)
+    out = [to_findings(f(long), name, flag) for name, (f, flag) in COLUMN_DETECTORS.items()]
+    out += [to_findings(f(two), name, flag) for name, (f, flag) in PAIR_DETECTORS.items()]
+    return reduce(DataFrame.unionByName, out)
