@@ -90,9 +90,12 @@ def _places(inside: list[str], phrase: list[str]) -> list[int]:
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Rows of docs, and in how many of them each word of the (fixed) vocabulary stands."""
+    """Rows of docs, and in how many of them each word of the (fixed) vocabulary stands.
+
+    explode_outer, as explode would have Spark infer a filter that computes the array a second time.
+    """
     known = F.array_distinct(F.filter(words(F.col("text")), lambda x: x.isin(vocabulary)))
-    counts = docs.select(F.explode(F.array_append(known, "")).alias("word")).groupBy("word").count().collect()
+    counts = docs.select(F.explode_outer(F.array_append(known, "")).alias("word")).groupBy("word").count().collect()
     found = {r["word"]: r["count"] for r in counts}
     return found.pop("", 0), found
 
