@@ -11,17 +11,20 @@ from .catalog import query
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", *LINE]
-SUPPLIER = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
 TABLES = {"lineitem": LINE, "orders": ["o_totalprice"], "part": ["p_retailprice", "p_size"], "customer": ["c_acctbal"], "events": ["value"]}
 
 
+def supplier():
+    return F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+
+
 def line_cells(read):
-    return rel.cells(read("lineitem"), LINE, SUPPLIER, ORDER)
+    return rel.cells(read("lineitem"), LINE, supplier(), ORDER)
 
 
 def line_rows(read):
     place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)) - 1
-    return read("lineitem").select(SUPPLIER.alias("source"), place.cast("long").alias("idx"), *LINE)
+    return read("lineitem").select(supplier().alias("source"), place.cast("long").alias("idx"), *LINE)
 
 
 def line_pairs(read):
