@@ -266,9 +266,14 @@ def _sections(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_deviations(body: Column) -> Column:
+    """The body if it has a ± at all, else an empty text: the row patterns backtrack over long names."""
+    return F.when(F.contains(body, F.lit("±")), body).otherwise("")
+
+
 def table_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, table_id, group_raw, group_name, mean, sd): printed mean ± deviation rows by table and normalised group."""
-    b = F.col("body")
+    b = _with_deviations(F.col("body"))
     zipped = F.arrays_zip(matches(b, GROUP_ROW, 1).alias("g"), matches(b, GROUP_ROW, 2).alias("m"), matches(b, GROUP_ROW, 3).alias("s"))
     rows = _sections(docs).select("doc_id", "table_id", F.inline(zipped)).withColumn("g", F.trim(F.regexp_replace("g", r"^\s+|\s+$", "")))
     return rows.select("doc_id", "table_id", F.col("g").alias("group_raw"), F.coalesce(first_alias(F.col("g"), lk.GROUP_ALIASES), F.col("g")).alias("group_name"), F.col("m").cast("double").alias("mean"), F.col("s").cast("double").alias("sd"))
@@ -276,7 +281,7 @@ def table_groups(docs: DataFrame) -> DataFrame:
 
 def table_series(docs: DataFrame) -> DataFrame:
     """(doc_id, label, t, y): rows of three or more mean ± deviation values after a table title, at times 0, 1, 2, ..."""
-    b = F.col("body")
+    b = _with_deviations(F.col("body"))
     rows = _sections(docs).where("section > 0").select("doc_id", "table_id", F.inline(F.arrays_zip(matches(b, SERIES_ROW, 1).alias("g"), matches(b, SERIES_ROW, 2).alias("d"))))
     label = F.concat("g", F.lit("("), "table_id", F.lit(")"))
     return rows.select("doc_id", label.alias("label"), F.posexplode(matches(F.col("d"), r"(\d+\.?\d*)\s*±\s*(\d+\.?\d*)", 1)).alias("t", "y")).select("doc_id", "label", F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as lk
 from ..operators import crossdoc, text
+from . import review
 from .catalog import query
 
 PAPERS = (
@@ -244,3 +245,35 @@ def _(read):
 @query("author_extract")
 def _(read):
     return crossdoc.authors(named(read))
+
+
+TABLED = (
+    "表 1 Control 1.20 ± 0.05 模型组 2.50±0.10\n表 2 Control 3.80 ± 0.05\n模型组 2.52±0.10",
+    "Table 1 siRNA-a 1.0±0.1 2.0±0.1 3.0±0.1 4.0±0.1\nTable 2 vegf 1.0±0.1 2.0±0.2 4.0±0.1 8.0±0.1\nno rows",
+)
+
+
+def tabled(read):
+    return read("documents").sparkSession.createDataFrame(list(enumerate(TABLED)), "doc_id long, text string")
+
+
+@query("table_groups")
+def _(read):
+    return text.table_groups(tabled(read))
+
+
+@query("table_series")
+def _(read):
+    return text.table_series(tabled(read))
+
+
+@query("paper_review")
+def _(read):
+    found = review.review(papers(read).unionByName(tabled(read).select(F.col("doc_id") - 100, "text").toDF("doc_id", "text")))
+    return found.select("source", "detector", "severity", F.array_join("subject", ",").alias("subject"), "description")
+
+
+@query("paper_verdicts")
+def _(read):
+    docs = papers(read)
+    return review.verdicts(docs, review.review(docs))

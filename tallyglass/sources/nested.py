@@ -49,6 +49,23 @@ def flatten_trials(trials: DataFrame) -> DataFrame:
     return measured.unionByName(analysed).unionByName(counted)
 
 
+STUDY = (
+    "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string>,statusModule:struct<overallStatus:string,startDateStruct:struct<date:string>>,"
+    "sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string>>,designModule:struct<studyType:string,phases:array<string>,enrollmentInfo:struct<count:long>>,"
+    "conditionsModule:struct<conditions:array<string>>>, hasResults boolean"
+)
+
+
+def trial_metadata(studies: DataFrame) -> DataFrame:
+    """(nct, title, status, start, sponsor, study_type, phases, enrollment, conditions, has_results) of (value): one registry study's JSON a row."""
+    p = studies.select(F.from_json("value", STUDY).alias("s")).select("s.protocolSection.*", "s.hasResults")
+    return p.select(
+        F.col("identificationModule.nctId").alias("nct"), F.col("identificationModule.briefTitle").alias("title"), F.col("statusModule.overallStatus").alias("status"),
+        F.col("statusModule.startDateStruct.date").alias("start"), F.col("sponsorCollaboratorsModule.leadSponsor.name").alias("sponsor"), F.col("designModule.studyType").alias("study_type"),
+        F.array_join("designModule.phases", "|").alias("phases"), F.col("designModule.enrollmentInfo.count").alias("enrollment"), F.array_join("conditionsModule.conditions", "|").alias("conditions"), F.col("hasResults").alias("has_results"),
+    )
+
+
 def trial_stats(rows: DataFrame) -> DataFrame:
     """(source, param_type, n, n_values)."""
     return rows.groupBy("source", "param_type").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))

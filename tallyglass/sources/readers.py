@@ -172,6 +172,78 @@ def images(spark: SparkSession, path: str, least: int = 100) -> DataFrame:
     return flat.mapInPandas(grey, "path string, height int, width int, pixels binary").withColumn("id", F.xxhash64("path"))
 
 
+def pdf_images(spark: SparkSession, path: str, least: int = 100, min_kb: int = 0, first_of_page: bool = False) -> DataFrame:
+    """(id, path, page, number, height, width, pixels) of the pictures in PDF files: of `least` pixels on both sides and `min_kb` kilobytes or more; the first of each page alone if asked for. Needs fitz."""
+    needs("fitz", "reading pictures of PDF files")
+
+    def run(batches: Iterator) -> Iterator:
+        import fitz
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                with fitz.open(stream=content, filetype="pdf") as doc:
+                    for page in doc:
+                        for k, (xref, *_) in enumerate(page.get_images()):
+                            stored = len(doc.extract_image(xref)["image"])
+                            pix = fitz.Pixmap(fitz.csGRAY, fitz.Pixmap(doc, xref))
+                            if min(pix.width, pix.height) >= least and stored >= 1024 * min_kb:
+                                out.append((file, page.number, k, pix.height, pix.width, bytes(pix.samples)))
+                                if first_of_page:
+                                    break
+            yield pd.DataFrame(out, columns=["path", "page", "number", "height", "width", "pixels"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path)
+    found = files.select("path", "content").mapInPandas(run, "path string, page int, number int, height int, width int, pixels binary")
+    return found.withColumn("id", F.xxhash64("path", "page", "number"))
+
+
+def parse_tables(name: str, content: bytes, max_rows: int = 5000, density: float = 0.3) -> Iterator[tuple[str, int, list[str]]]:
+    """(table, row number, cells) of a CSV file, or of those in a zip archive (archives in it too), if over `density` of the cells are numbers. max_rows bounds what one supplement contributes."""
+    import csv
+    import io
+    import zipfile
+
+    if extension(name) == "zip":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for inner in z.namelist():
+                if not inner.endswith("/"):
+                    yield from parse_tables(f"{name}/{inner}", z.read(inner), max_rows, density)
+    elif extension(name) == "csv":
+        rows = [r for _, r in zip(range(max_rows + 1), csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))), strict=False)]
+        cells = [c.strip().replace("%", "").replace(",", "") for r in rows[1:] for c in r]
+        if cells and sum(map(_is_number, cells)) / len(cells) > density:
+            yield from ((name, i, r) for i, r in enumerate(rows))
+
+
+def _is_number(cell: str) -> bool:
+    try:
+        return abs(float(cell)) < float("inf")
+    except ValueError:
+        return False
+
+
+def download_tables(links: DataFrame, pause: float = 0.5, timeout: float = 30) -> DataFrame:
+    """(page_id, link, table, row, cells, error) of (page_id, link): what the links' CSV files and archives hold. Needs a network."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for page, link in zip(batch["page_id"], batch["link"], strict=True):
+                try:
+                    with urllib.request.urlopen(link, timeout=timeout) as answer:
+                        out += [(page, link, t, i, r, None) for t, i, r in parse_tables(link.split("?")[0], answer.read())]
+                except Exception as problem:
+                    out.append((page, link, None, None, None, str(problem)))
+                time.sleep(pause)
+            yield pd.DataFrame(out, columns=["page_id", "link", "table", "row", "cells", "error"]).astype({"row": "Int64"})
+
+    return links.select("page_id", "link").mapInPandas(run, "page_id long, link string, table string, row long, cells array<string>, error string")
+
+
 def email_database(spark: SparkSession, path: str) -> DataFrame:
     """(paper, email) of a JSON file {"papers": {name: {"emails": [...]}}}, or of the inner object alone."""
     entry = "map<string,struct<emails:array<string>>>"

@@ -113,3 +113,23 @@ def test_gaps_are_dropped_not_kept(spark, tmp_path):
     f = tmp_path / "g.csv"
     f.write_text("a\n1\nx\n3\n\n5\n7\n9\n")
     assert columns.arithmetic_sequence(readers.table_cells(spark, str(f)).drop("sheet")).first().n == 5
+
+
+def test_supplement_archives():
+    import io
+    import zipfile
+
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("n.csv", "a,b\n1,2\n3,x\n")
+        z.writestr("words.csv", "a,b\nx,y\nz,1\nq,r\n")
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+    got = list(readers.parse_tables("s.zip", outer.getvalue()))
+    assert got == [("s.zip/in.zip/n.csv", 0, ["a", "b"]), ("s.zip/in.zip/n.csv", 1, ["1", "2"]), ("s.zip/in.zip/n.csv", 2, ["3", "x"])]
+
+
+def test_trial_metadata(spark):
+    study = {"protocolSection": {"identificationModule": {"nctId": "N1", "briefTitle": "T"}, "designModule": {"phases": ["P1", "P2"], "enrollmentInfo": {"count": 7}}}, "hasResults": True}
+    r = nested.trial_metadata(spark.createDataFrame([(json.dumps(study),)], "value string")).first()
+    assert (r.nct, r.title, r.phases, r.enrollment, r.status, r.has_results) == ("N1", "T", "P1|P2", 7, None, True)

@@ -72,3 +72,15 @@ def test_kernels(spark):
     f = images.frequency_features(np.random.default_rng(1).integers(0, 255, (128, 128)).astype(np.uint8))
     assert 0 < f[0] < 1 and 0 <= images.synthetic_score(f) <= 1
     assert images.resized(np.arange(16).reshape(4, 4), 2, 2).tolist() == [[2.5, 4.5], [10.5, 12.5]]
+
+
+def test_review_of_papers(spark):
+    from tallyglass.plans import review
+
+    body = "采用t检验。差异无统计学意义(P<0.05)。n=2。contact a1@qq.com\n表 1 Control 1.20 ± 0.05\n表 2 Control 3.80 ± 0.05\n"
+    df = docs(spark, body, "plain text of a review doi 10.1234/ab.1", None)
+    found = review.review(df).cache()
+    kinds = {(r.source, r.detector) for r in found.collect()}
+    assert {("0", "CROSS_TABLE"), ("0", "CONCLUSION_CONTRADICTION"), ("0", "TOO_FEW_FOR_T_TEST"), ("0", "MISSING_NORMALITY_CHECK"), ("0", "EMAIL_DOMAINS"), ("0", "NO_DOI")} <= kinds
+    got = {r.source: r for r in review.verdicts(df, found).collect()}
+    assert got["0"].risk == "RED" and got["1"].risk == "GREEN" and len(got) == 3
