@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Words of letters, digits and everything beyond ASCII (after lower-casing A-Z).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words of letters, digits and everything beyond ASCII (after lower-casing).
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
+KELVIN, REPLACEMENT = "\u212a", "\ufffd"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +55,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def pieces(text: Column, separator: str) -> Column:
+    """What stands between separators, without empty pieces; none for null. Splitting is several times as fast as extracting the words."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator, -1), "")
+
+
 def words(text: Column) -> Column:
-    """Words of the lower-cased whole text; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of the lower-cased whole text; none for null.
+
+    The Kelvin sign, the one character beyond ASCII whose lower case is an ASCII word of its own, is replaced before, so
+    that ASCII words are equal exactly where they are with A-Z alone lower-cased.
+    """
+    return pieces(F.lower(F.replace(text, F.lit(KELVIN), F.lit(REPLACEMENT))), SEPARATOR)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
