@@ -30,6 +30,8 @@ PREFIX = 4
 #: Passes that select features, and passes that then fit the selected ones without a penalty.
 EPOCHS, REFIT = 80, 200
 RATE = 0.3
+#: What a toxic document counts against another when the selected features are fitted: a missed one costs more.
+TOXIC_WEIGHT = 2.0
 #: A feature stays out unless it is worth this many documents.
 L1_DOCUMENTS = 0.4
 #: Fixed values of the contract.
@@ -109,7 +111,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: in
             log_no = -np.logaddexp(0, z)
             p = np.exp(z + log_no)
             none = np.exp(np.bincount(doc, log_no, n))
-            g = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)[doc] * p / n
+            push = none / np.maximum(1 - none, 1e-9) * (1.0 if l1 else TOXIC_WEIGHT)
+            g = np.where(y, push, -1.0)[doc] * p / n
             step, up = np.bincount(f, g[s], len(keep)), g.sum()
             gv += step**2
             gb += up**2
