@@ -68,14 +68,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, taken and virtual_start (of the first copy) as further columns.
 
-    docs needs doc_id, source and size; all its other columns go along. taken: the words of the copies that
+    docs needs doc_id, source and size; all its other columns go along, but for those of the results' names. taken: the words of the copies that
     lie before virtual time 1. Ties in the shuffled order (repeated rows) are ordered by id and size, so
     reruns agree. A null id is shuffled as an empty one, a null size counts as 0, a source without words has
     target 0. An empty table gives an empty one.
     """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     rows = (
-        docs.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
+        docs.drop("source_size", "target", "taken", "virtual_start")
+        .withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
         .withColumn("_key", _source_key(F.col("source")))
         .withColumn("_order", order)
         .withColumn("_range", F.substring("_order", 1, _RANGE_DIGITS))
