@@ -21,16 +21,22 @@ def parse_number(text: Column) -> Column:
 
 
 def general10(value: Column, signed: bool = False) -> Column:
-    """The value with up to 10 significant digits, without trailing zeros (C's %.10g); of the absolute value unless signed."""
-    text = F.format_string("%.10g", value if signed else F.abs(value))
-    fixed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    return F.when(value == 0, F.lit("0")).otherwise(fixed)
+    """The value with up to 10 significant digits, without trailing zeros (C's %.10g); of the absolute value unless signed.
+
+    Where the shortest exact text has 10 digits or fewer it is that text, at a fraction of a formatter's cost.
+    """
+    x = value if signed else F.abs(value)
+    short = x.cast("string")
+    plain = F.abs(value).between(1e-3, 9_999_999) & (F.length(F.replace(short, F.lit("-"), F.lit(""))) <= 11)
+    text = F.format_string("%.10g", x)
+    long = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(value == 0, F.lit("0")).when(plain, F.regexp_replace(short, r"\.0$", "")).otherwise(long)
 
 
 def last_digit(value: Column) -> Column:
-    """Last character of general10 less trailing zeros, as a number; 0 where nothing is left, null for no digit."""
-    bare = F.regexp_replace(F.regexp_replace(general10(value), "0+$", ""), r"\.$", "")
-    return F.when(bare == "", F.lit(0)).when(bare.rlike("[0-9]$"), F.right(bare, F.lit(1)).cast("int"))
+    """Last character of general10 less trailing zeros, as a number; 0 where nothing is left, null for what isn't finite."""
+    found = F.regexp_extract(general10(value), "([1-9])0*$", 1)
+    return F.when(F.abs(value) < float("inf"), F.coalesce(F.nullif(found, F.lit("")).cast("int"), F.lit(0)))
 
 
 def fraction_digits(value: Column) -> Column:
