@@ -8,17 +8,44 @@ from pyspark.sql import functions as F
 CELLS = ["source", "col_pos", "col", "idx", "value"]
 
 
-def cells(df: DataFrame, columns: list[str], source: Column, order: list[Column | str]) -> DataFrame:
+def cells(df: DataFrame, columns: list[str], source: Column, order: list[Column | str], rows_a_range: int | None = None) -> DataFrame:
     """The cell model of a wide table: (source, col_pos, col, idx, value).
 
     idx counts a column's non-null cells in row order within its source, as unparsable cells are dropped, not
-    kept as gaps.
+    kept as gaps. rows_a_range: for sources larger than a task, see ordered_index; the first of `order` must then be a
+    column that casts to a number.
     """
     wide = df.select(source.alias("source"), F.struct(*order).alias("_order"), *[F.col(c).cast("double").alias(c) for c in columns])
     parts = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), F.col(c).alias("value")) for i, c in enumerate(columns)])
     long = wide.select("source", "_order", F.inline(parts)).where("value is not null and not isnan(value)")
-    place = F.row_number().over(Window.partitionBy("source", "col_pos").orderBy("_order", "value")) - 1
-    return long.select("source", "col_pos", "col", place.cast("long").alias("idx"), "value")
+    first = None if rows_a_range is None else F.col("_order")[order[0]].cast("double")
+    placed = ordered_index(long, ["source", "col_pos"], ["_order", "value"], "idx", first, rows_a_range)
+    return placed.select("source", "col_pos", "col", "idx", "value")
+
+
+def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str, first: Column | None = None, rows_a_range: int | None = None) -> DataFrame:
+    """df with the 0-based place of each row within its keys, by `order`.
+
+    A window by the keys puts a key's rows into one task. With `first` (a number that `order` begins with) and
+    rows_a_range, the rows are cut at quantiles of `first` (one literal a range), numbered within (keys, range), and
+    moved by the counts of the ranges before, so that no key needs one task.
+    """
+    if first is None or rows_a_range is None or (k := -(-df.count() // rows_a_range)) <= 1:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    bounds = sorted(set(df.select(first.alias("_f")).approxQuantile("_f", [i / k for i in range(1, k)], 1 / (4 * k))))
+    number = sum((F.when(first >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    cut = df.withColumn("_range", number)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = cut.groupBy(*keys, "_range").count().select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return cut.withColumn("_place", place).join(moved, [*keys, "_range"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_range", "_place", "_before")
+
+
+def chunked(rows: DataFrame, ahead: int, chunk: int) -> DataFrame:
+    """Rows by the chunk of `chunk` places they belong to (`home`), also sent to the chunks (`chunk`) whose last rows look up to `ahead` places ahead to them."""
+    home = F.floor(F.col("idx") / chunk)
+    back = F.greatest(F.floor((F.col("idx") - ahead) / chunk), F.lit(0))
+    return rows.withColumn("home", home).withColumn("chunk", F.explode(F.sequence(back, home)))
 
 
 def table_cells(df: DataFrame, columns: list[str], source: str) -> DataFrame:

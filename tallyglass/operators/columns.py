@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
-from ..functions.relational import mode
+from ..functions.relational import chunked, mode
 
 KEYS = ["source", "col"]
 
 
-def arithmetic_sequence(cells: DataFrame) -> DataFrame:
-    """One difference between neighbours in row order in 80 % of the places or more (3 at least), not 0; of 4 values or more."""
-    w = Window.partitionBy("source", "col_pos", "col").orderBy("idx")
-    steps = cells.select(*KEYS, "idx", F.round(F.lead("value").over(w) - F.col("value"), 10).alias("d")).where("d is not null")
+def arithmetic_sequence(cells: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """One difference between neighbours in row order in 80 % of the places or more (3 at least), not 0; of 4 values or more.
+
+    Neighbours are found within chunks of places, so that a long column isn't one task.
+    """
+    w = Window.partitionBy("source", "col_pos", "chunk").orderBy("idx")
+    steps = chunked(cells, 1, chunk).select(*KEYS, "idx", "home", "chunk", F.round(F.lead("value").over(w) - F.col("value"), 10).alias("d")).where("d is not null and home = chunk")
     m = mode(steps, KEYS, "d", "idx")
     z = num.binomial_z(F.col("freq"), F.col("n"), 0.1)
     flagged = (F.col("n") >= 3) & (F.col("freq") >= 0.8 * F.col("n")) & (F.col("freq") >= 3) & (F.col("mode") != 0)

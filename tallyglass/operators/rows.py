@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
+from ..functions.relational import chunked
 
 
 def row_key(columns: list[str]) -> Column:
@@ -42,13 +43,11 @@ def identical_blocks(rows: DataFrame, columns: list[str], sizes: tuple[int, ...]
     """
     most = max(sizes) - 1
     keyed = rows.select("source", "idx", row_key(columns).alias("key"))
-    here = F.floor(F.col("idx") / chunk)
-    back = F.floor((F.col("idx") - most) / chunk)
-    spread = keyed.select("source", "idx", "key", F.explode(F.sequence(F.greatest(back, F.lit(0)), here)).alias("chunk"))
+    spread = chunked(keyed, most, chunk)
     w = Window.partitionBy("source", "chunk").orderBy("idx")
     ahead = [F.lead("key", j).over(w) for j in range(1, max(sizes))]
     cols = [F.col("key"), *ahead]
-    windows = spread.select("source", "chunk", "idx", *[F.when(cols[k - 1].isNotNull(), F.concat_ws("\n", *cols[:k])).alias(f"w{k}") for k in sizes]).where(here == F.col("chunk"))
+    windows = spread.select("source", "home", "chunk", *[F.when(cols[k - 1].isNotNull(), F.concat_ws("\n", *cols[:k])).alias(f"w{k}") for k in sizes]).where("home = chunk")
     long = windows.select("source", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("block")) for k in sizes]))).where("block is not null")
     by = long.groupBy("source", "k", "block").agg(F.count("*").alias("c"))
     n = rows.groupBy("source").agg(F.count("*").alias("n"))

@@ -153,3 +153,17 @@ def test_findings_schema_and_report(spark):
     assert report.startswith("## s\n\n- **")
     assert fi.source_risk(found).first().grade == "RED"
     assert fi.summary(found).count() > 3 and fi.as_json(found).count() == found.count()
+
+
+def test_long_columns_in_ranges_and_chunks(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(rng.randint(0, 300), rng.choice([1.0, 2.5, None, 4.0])) for _ in range(400)]
+    df = spark.createDataFrame(data, "t int, x double")
+    whole = sorted(map(tuple, rel.cells(df, ["x"], F.lit("s"), ["t"]).collect()))
+    assert sorted(map(tuple, rel.cells(df, ["x"], F.lit("s"), ["t"], rows_a_range=50).collect())) == whole
+    cell = rel.cells(df, ["x"], F.lit("s"), ["t"])
+    want = columns.arithmetic_sequence(cell).collect()
+    for chunk in (1, 2, 7):
+        assert columns.arithmetic_sequence(cell, chunk).collect() == want
