@@ -19,43 +19,60 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import broadcast_if_small, checkpoint, partitions, words
 from .components import connected_components
+from .decontaminate import shingle_hashes
 
 THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
+#: Resemblance over five-word shingles that links of further fingerprints need.
+VERIFIED = 0.8
+BROADCAST_IDS = 500_000
 #: Groups at an anchor up to this size are compared pair by pair, in vectors across groups.
 SMALL_GROUP = 6
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Signed 64-bit fingerprint of the whole text: 3-word shingles, repeats included; 0 without words."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of what h is a hash of: h itself for k = 0, else the finaliser of splitmix64 on h and k."""
+    if not k:
+        return h
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, more: int = 0) -> list[int]:
+    """Signed 64-bit fingerprints of the whole text: 3-word shingles, repeats included; 0 without words. First that of XXH64, then `more` of other hashes."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return [0] * (more + 1)
     if len(words) < SHINGLE:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((more + 1, 64), np.int64)
     for at in range(0, len(shingles), _CHUNK):
         h = np.array([digest(x, SEED) for x in shingles[at : at + _CHUNK]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")[0])
+        for k in range(more + 1):
+            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, more: int = 0) -> DataFrame:
+    """(doc_id, fp, more): one row for each row of docs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x, more) for x in batch.column(1).to_pylist()]
+            others = pa.array([x[1:] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), others], ["doc_id", "fp", "more"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, more array<long>")
 
 
 def _flips() -> list[np.ndarray]:
@@ -93,9 +110,10 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         doc = batch.column(1).to_numpy(zero_copy_only=False)
+        which = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         for k in (0, 1):
             row, anchor = anchors((fp >> np.uint64(32 * k)).astype(np.uint32))
-            key = anchor.astype(np.int64) | (k << 32)
+            key = anchor.astype(np.int64) | (k << 32) | (which[row] << 33)
             for at in range(0, len(row), _CHUNK):
                 r = row[at : at + _CHUNK]
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + _CHUNK]), pa.array(fp[r].view(np.int64)), pa.array(doc[r])], ["anchor", "fp", "doc"])
@@ -153,26 +171,57 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_links(classes: DataFrame) -> DataFrame:
-    """(a, b) over (fp, doc), one row for each fingerprint: links that connect exactly what chains of at most 3 differing bits connect."""
+    """(a, b) over (fp, doc), one row for each fingerprint: links that connect exactly what chains of at most 3 differing bits connect.
+
+    With a column k, fingerprints of different k are strangers.
+    """
     n = partitions(classes.sparkSession)
-    at_anchors = classes.select("fp", "doc").mapInArrow(_replicate, "anchor long, fp long, doc long")
+    k = F.col("k") if "k" in classes.columns else F.lit(0)
+    at_anchors = classes.select("fp", "doc", k.cast("int").alias("k")).mapInArrow(_replicate, "anchor long, fp long, doc long")
     return at_anchors.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, more: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id: the smallest doc_id reachable over links.
 
+    more: as many further fingerprints of each class's first document, whose links (as near as those of the first
+    fingerprint) count if the two texts resemble each other by VERIFIED or more over their sets of five-word shingles.
+    Each gives near copies that fall just beyond the threshold another chance.
+
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows each give a row.
     A null doc_id is never a representative: its row gets its class's component, or null where only null
     ids have that fingerprint. Other columns of docs are not read. An empty table gives an empty one.
     """
-    fps = checkpoint(fingerprints(docs))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")).where("doc is not null"))
-    parts = connected_components(near_duplicate_links(classes))
+    fps = checkpoint(fingerprints(docs, more))
+    first = fps.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "more")).alias("d"))
+    classes = checkpoint(first.select("fp", F.col("d.doc_id").alias("doc"), "d.more"))
+    links = near_duplicate_links(classes)
+    if more:
+        links = links.unionByName(_verified(docs, _further_links(classes)))
+    parts = connected_components(links)
     named = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("fp"), F.coalesce("component", "doc").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _further_links(classes: DataFrame) -> DataFrame:
+    rows = classes.select("doc", F.posexplode("more").alias("k", "fp"))
+    one = checkpoint(rows.groupBy("k", "fp").agg(F.min("doc").alias("rep")))
+    near = near_duplicate_links(one.withColumnRenamed("rep", "doc"))
+    equal = rows.join(one, ["k", "fp"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    both = near.unionByName(equal)
+    return checkpoint(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _verified(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """The links whose texts resemble each other by VERIFIED or more; texts of fewer than five words have no shingle and none."""
+    ids = checkpoint(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = checkpoint(texts.select("doc_id", shingle_hashes(words(F.col("text"))).alias("s")))
+    wide = links.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = wide.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return both.where((F.col("n") > 0) & (F.col("n") >= VERIFIED * (F.col("na") + F.col("nb") - F.col("n")))).select("a", "b")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -72,3 +72,25 @@ def test_odd_rows(odd, spark):
     assert {r[2] for r in got if r[0] in (4, 6)} == {4}
     assert sum(r[0] == 3 for r in got) == 2
     assert simhash.near_duplicates(odd.where("false")).count() == 0
+
+
+def test_further_fingerprints_find_verified_copies(frame):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, truth = [], {}
+    for g in range(25):
+        w = [word() for _ in range(120)]
+        for c in range(3):
+            v = list(w)
+            if c:
+                v[rng.randrange(len(v))] = word()
+            rows.append((g * 10 + c, " ".join(v), None, None))
+            truth[g * 10 + c] = g * 10
+    rows += [(500, "short text", None, None), (501, "short words", None, None)]
+    few = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
+    many = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows), 7).collect()}
+    caught = lambda found: sum(found[d] == t for d, t in truth.items())
+    assert caught(few) < caught(many) and caught(many) >= 0.97 * len(truth)
+    assert all(many[d] // 10 == d // 10 for d in truth)
+    assert all(many[d] <= few[d] for d in few)
+    assert (many[500], many[501]) == (500, 501)
