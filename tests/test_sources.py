@@ -133,3 +133,29 @@ def test_trial_metadata(spark):
     study = {"protocolSection": {"identificationModule": {"nctId": "N1", "briefTitle": "T"}, "designModule": {"phases": ["P1", "P2"], "enrollmentInfo": {"count": 7}}}, "hasResults": True}
     r = nested.trial_metadata(spark.createDataFrame([(json.dumps(study),)], "value string")).first()
     assert (r.nct, r.title, r.phases, r.enrollment, r.status, r.has_results) == ("N1", "T", "P1|P2", 7, None, True)
+
+
+def png(rows: list[bytes]) -> bytes:
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_pictures_to_figures(spark, tmp_path):
+    from tallyglass.operators import images
+
+    tile = [bytes((x * 7 + y * 3) % 200 + 20 for x in range(32)) for y in range(32)]
+    whole = [row * 4 for row in tile] * 4
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(png(whole))
+    (tmp_path / "small.png").write_bytes(png([bytes(20)] * 20))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    got = readers.images(spark, str(tmp_path), 100)
+    r = got.first()
+    assert got.count() == 1 and (r.height, r.width) == (128, 128) and bytes(r.pixels) == b"".join(whole)
+    f = images.figure_bundle(got).first()
+    assert (f.duplicates, f.blocks) == (8, 9)
+    assert images.frequency_scores(got).count() == 1
