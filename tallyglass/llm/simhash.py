@@ -216,7 +216,8 @@ def _verified(docs: DataFrame, links: DataFrame) -> DataFrame:
     """The links whose texts resemble each other by VERIFIED or more; texts of fewer than five words have no shingle and none."""
     ids = checkpoint(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = checkpoint(texts.select("doc_id", shingle_hashes(words(F.col("text"))).alias("s")))
+    split = texts.select("doc_id", words(F.col("text")).alias("w"))
+    sets = checkpoint(split.select("doc_id", shingle_hashes(F.col("w")).alias("s")))
     wide = links.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = wide.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.where((F.col("n") > 0) & (F.col("n") >= VERIFIED * (F.col("na") + F.col("nb") - F.col("n")))).select("a", "b")
