@@ -28,7 +28,7 @@ SAMPLE_PER_LANGUAGE = 2000
 #: Fixed values of the contract: parts of the id's crc32 and the part held out.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-_CHUNK_CHARS = 400_000
+_CHUNK_CHARS = 200_000
 _DENSE = 3_000_000
 _UNIT = 1_000_000
 
@@ -89,7 +89,7 @@ def bundles(texts: list[str | None]) -> np.ndarray:
         present, place = np.unique(code, return_inverse=True)
     v = letters.vectors
     bound = (np.roll(v, 2, 1)[present // size**2] * np.roll(v, 1, 1)[present // size % size] * v[present % size]).astype(np.float32)
-    step = max(1, 8_000_000 // max(1, len(present)))
+    step = max(1, 2_000_000 // max(1, len(present)))
     ends = np.searchsorted(doc, np.arange(0, n + step, step))
     for k, at in enumerate(range(0, n, step)):
         rows = min(step, n - at)
