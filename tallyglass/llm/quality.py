@@ -1,34 +1,31 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Tokens are words and runs of punctuation; those outside a bounded vocabulary count as one of a few
-classes by their letters. Counts of all trusted text are tables sharded by n-gram, one model a language.
-To score, the texts' token numbers are kept in blocks; each block's distinct trigrams are joined to the
-sharded counts (never the other way round, so no table is gathered anywhere), and the block's texts then
-meet the block's log-probabilities. Texts are kept up to a quantile of the perplexity of their language's trusted
-texts that weren't counted.
-
-Bounds: the vocabulary has at most VOCABULARY words, learned from about VOCABULARY_TEXTS trusted texts; a
-block closes at BLOCK_TOKENS tokens. Counts, scores and quantiles cover all texts.
+Tokens are words and runs of punctuation, each numbered by a 63-bit hash: the vocabulary is open, no word shares
+its counts with another. Counts of all trusted text are tables sharded by n-gram, one model a language. To score,
+the texts' tokens are kept in blocks; each block's distinct n-grams (all orders at once) are joined to the sharded
+model (never the other way round, so no table is gathered anywhere), and the block's texts then meet what was found;
+n-grams the model doesn't have aren't sent back. Texts are kept up to a quantile of the perplexity of their
+language's trusted texts that weren't counted.
+
+Bounds: a block closes at BLOCK_TOKENS tokens. Vocabulary, counts, scores and quantiles cover all texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, table, written
 
-VOCABULARY = 250
-VOCABULARY_TEXTS = 20_000
 BLOCK_TOKENS = 6_000_000
 #: One in CALIBRATE trusted texts is kept out of the counts; the thresholds are quantiles of their perplexity, as
 #: texts that were counted have less than others like them.
@@ -37,59 +34,68 @@ CALIBRATE = 5
 QUANTILE, SLACK = 0.99, 1.5
 BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Start, end, then the classes of words outside the vocabulary.
-START, END, FIRST_CLASS = 0, 1, 2
-CLASSES = ("lower short", "lower", "lower long", "title short", "title", "upper short", "upper", "mixed", "number", "sign", "sign run", "sign mix")
-FIRST_WORD = FIRST_CLASS + len(CLASSES)
+#: Start, end; words have the numbers from FIRST_WORD.
+START, END, FIRST_WORD = 0, 1, 2
 LANGUAGES = 1 << 15
+#: Spark's seed of xxhash64.
+SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def word_class(token: str) -> int:
-    """Class by letters and length: what is rare in trusted text must not share a class with what isn't."""
-    n = len(token)
-    if token.isalpha():
-        if token.islower():
-            kind = 0 if n <= 4 else 1 if n <= 9 else 2
-        elif token.isupper() and n > 1:
-            kind = 5 if n <= 3 else 6
-        else:
-            kind = (3 if n <= 4 else 4) if token.istitle() else 7
-    elif any(map(str.isalpha, token)):
-        kind = 7
-    elif any(map(str.isdigit, token)):
-        kind = 8
-    else:
-        kind = 9 if n == 1 else 10 if len(set(token)) == 1 else 11
-    return FIRST_CLASS + kind
+def numbers(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """The text's tokens by number: that of `vocabulary` where it has one, else the token's hash."""
+    get, digest = vocabulary.get, xxhash.xxh64_intdigest
+    return np.array([n if (n := get(t)) is not None else max(digest(t.encode("utf-8", "surrogatepass")) >> 1, FIRST_WORD) for t in TOKEN.findall(text or "")], "<i8")
 
 
-def numbers(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([n if (n := get(t)) is not None else word_class(t) for t in TOKEN.findall(text or "")], "<u2")
+def _pack(tokens: np.ndarray) -> bytes:
+    own, at = np.unique(tokens, return_inverse=True)
+    wide = "<u2" if len(own) <= 1 << 16 else "<u4"
+    return zlib.compress(np.int64(len(own)).tobytes() + own.astype("<i8").tobytes() + at.astype(wide).tobytes(), 1)
 
 
-def trigrams(lang: int, tokens: np.ndarray) -> np.ndarray:
-    """Packed (lang, u, v, w) of each token and the end, after two starts."""
-    s = np.concatenate([[START, START], tokens, [END]]).astype(np.int64)
-    return (np.int64(lang) << 48) | (s[:-2] << 32) | (s[1:-1] << 16) | s[2:]
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.frombuffer(raw, "<i8", n, 8)[np.frombuffer(raw, "<u2" if n <= 1 << 16 else "<u4", offset=8 * (n + 1))]
 
 
-def learn_vocabulary(texts: DataFrame) -> dict[str, int]:
-    """Numbers of the most frequent tokens of (text) rows; ties by code point."""
+def _padded(tokens: np.ndarray) -> np.ndarray:
+    return np.concatenate([[START, START], tokens, [END]]).astype(np.int64)
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _hashed(seed: np.ndarray | int, x: np.ndarray) -> np.ndarray:
+    """xxhash64 of a column of longs after those hashed into `seed`, as Spark has it."""
+    with np.errstate(over="ignore"):
+        h = np.asarray(seed, np.int64).view(np.uint64) + _P5 + np.uint64(8)
+        h = h ^ (_rotl(np.asarray(x, np.int64).view(np.uint64) * _P2, 31) * _P1)
+        h = _rotl(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def keys(lang: int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the language, and of the padded text's words (all but the first), pairs and triples; the last of each three are of token k and the end.
+
+    A triple's key has the language in its upper 16 bits, 32 bits of a hash and the lower 16 bits of the last word: an unseen triple meets
+    the key of one of a thousand million others of its language with a probability of 4e-6. The other keys are hashes of 64 bits.
+    """
+    s = _padded(tokens)
+    own = _hashed(np.full(1, SEED, np.int64), np.full(1, lang, np.int64))
+    k1 = _hashed(np.full(len(s), own[0]), s)
+    k2 = _hashed(k1[:-1], s[1:])
+    k3 = (np.int64(lang) << 48) | ((_hashed(k2[:-1], s[2:]) & 0xFFFFFFFF) << 16) | (s[2:] & 0xFFFF)
+    return own, k1[1:], k2, k3
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(TOKEN.findall(text or ""))
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
-    counts = texts.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()
-    return {r["token"]: FIRST_WORD + i for i, r in enumerate(top)}
+def trigrams(lang: int, tokens: np.ndarray) -> np.ndarray:
+    """Keys of each token's and the end's triple."""
+    return keys(lang, tokens)[3]
 
 
 def encode(docs: DataFrame, vocabulary: dict[str, int], langs: dict[str, int]) -> DataFrame:
@@ -102,7 +108,7 @@ def encode(docs: DataFrame, vocabulary: dict[str, int], langs: dict[str, int]) -
             for text in batch.column(2).to_pylist():
                 tokens = numbers(text, vocabulary)
                 blocks.append(block)
-                packed.append(zlib.compress(tokens.tobytes(), 1))
+                packed.append(_pack(tokens))
                 filled += len(tokens)
                 if filled >= BLOCK_TOKENS:
                     block, filled = block + 1, 0
@@ -112,32 +118,17 @@ def encode(docs: DataFrame, vocabulary: dict[str, int], langs: dict[str, int]) -
     return docs.select("doc_id", "lang", "text").mapInArrow(run, "block long, doc_id long, lang string, lang_id int, tokens binary")
 
 
-def _packed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for lang, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield trigrams(lang, np.frombuffer(zlib.decompress(tokens), "<u2"))
-
-
 def count_trigrams(encoded: DataFrame) -> DataFrame:
-    """(k3, c): counts, pre-aggregated in each task."""
+    """(lang, u, v, w, c): counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(wait), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["k3", "c"])
-
         for batch in batches:
-            for k in _packed(batch):
-                wait.append(k)
-                size += len(k)
-                if size > 2 * BLOCK_TOKENS:
-                    yield flush()
-                    wait, size = [], 0
-        if wait:
-            yield flush()
+            for lang, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = _padded(_unpack(packed))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s) - 2, lang, np.int64)), pa.array(s[:-2]), pa.array(s[1:-1]), pa.array(s[2:])], ["lang", "u", "v", "w"])
 
-    return encoded.select("lang_id", "tokens").mapInArrow(run, "k3 long, c long").groupBy("k3").agg(F.sum("c").alias("c"))
+    found = encoded.select("lang_id", "tokens").mapInArrow(run, "lang long, u long, v long, w long")
+    return found.groupBy("lang", "u", "v", "w").agg(F.count("*").alias("c"))
 
 
 def _times(n: Column) -> list[Column]:
@@ -152,51 +143,36 @@ def discounts(counts: DataFrame, c: str) -> list[float]:
     return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(found)]
 
 
-def _model(count: Column, n: DataFrame | None, total: Column, d: list[float], lower: Column) -> Column:
-    """max(c - D(c), 0) / total + (D1 n1 + D2 n2 + D3 n3) / total * lower; lower alone where the context is unknown."""
-    off = F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
-    own = F.coalesce((count - off) / total, F.lit(0.0))
-    rest = F.coalesce(sum((F.col(f"{n}.n{k + 1}") * d[k] for k in range(3)), F.lit(0.0)) / total, F.lit(1.0))
-    return own + rest * lower
-
+def model(counts: DataFrame) -> DataFrame:
+    """(key, top, total, rest), one row an n-gram of any order, and a language: p(w | context) is top of the n-gram over total of the context, plus rest of the context times p(w | shorter context).
 
-def log_probabilities(wanted: DataFrame, counts: DataFrame, words: int) -> DataFrame:
-    """(k3, logp) for the distinct k3 of `wanted`, by equi-joins with the sharded counts. words: the vocabulary's size with classes."""
-    k3 = F.col("k3")
-    lang = F.shiftright(k3, 48)
-    k2 = F.shiftleft(lang, 32).bitwiseOR(k3.bitwiseAND(F.lit(0xFFFFFFFF)))
+    top: the (continuation) count less its discount, 0 where the key is only a context; total is null where it is none.
+    """
     t3 = counts
-    t2 = checkpoint(t3.groupBy(k2.alias("k2")).agg(F.count("*").alias("n")))
-    w_of_2 = F.shiftleft(F.shiftright("k2", 32), 16).bitwiseOR(F.col("k2").bitwiseAND(F.lit(0xFFFF)))
-    t1 = checkpoint(t2.groupBy(w_of_2.alias("k1")).agg(F.count("*").alias("n")))
-    c3 = t3.groupBy(F.shiftright("k3", 16).alias("uv")).agg(F.sum("c").alias("total"), *_times(F.col("c")))
-    c2 = t2.groupBy(F.shiftright("k2", 16).alias("v")).agg(F.sum("n").alias("total"), *_times(F.col("n")))
-    c1 = t1.groupBy(F.shiftright("k1", 16).alias("l")).agg(F.sum("n").alias("total"), *_times(F.col("n")))
+    t2 = checkpoint(t3.groupBy("lang", "v", "w").agg(F.count("*").alias("n")))
+    t1 = checkpoint(t2.groupBy("lang", "w").agg(F.count("*").alias("n")))
+
+    def tops(t: DataFrame, n: str, key: Column, d: list[float]) -> DataFrame:
+        c = F.col(n)
+        return t.select(key.alias("key"), (c - F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])).cast("double").alias("top"), F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("rest"))
+
+    def contexts(t: DataFrame, n: str, names: list[str], d: list[float]) -> DataFrame:
+        by = t.groupBy(*names).agg(F.sum(n).alias("total"), *_times(F.col(n)))
+        off = sum(F.col(f"n{k + 1}") * d[k] for k in range(3))
+        return by.select(F.xxhash64(*names).alias("key"), F.lit(None).cast("double").alias("top"), F.col("total").cast("double").alias("total"), (off / F.col("total")).cast("double").alias("rest"))
+
     d3, d2, d1 = discounts(t3, "c"), discounts(t2, "n"), discounts(t1, "n")
-    low = lambda df: broadcast_if_small(checkpoint(df), BROADCAST_ROWS)
-    as_struct = lambda df, key, name: df.select(F.col(key), F.struct(*[c for c in df.columns if c != key]).alias(name))
-    rows = (
-        wanted.select("k3").distinct()
-        .withColumn("uv", F.shiftright("k3", 16))
-        .withColumn("k2", k2)
-        .withColumn("k1", F.shiftleft(lang, 16).bitwiseOR(k3.bitwiseAND(F.lit(0xFFFF))))
-        .withColumn("v", F.shiftright("k2", 16))
-        .withColumn("l", lang)
-        .join(t3, "k3", "left")
-        .join(as_struct(c3, "uv", "x3"), "uv", "left")
-        .join(low(as_struct(t2, "k2", "t2")), "k2", "left")
-        .join(low(as_struct(c2, "v", "x2")), "v", "left")
-        .join(low(as_struct(t1, "k1", "t1")), "k1", "left")
-        .join(low(as_struct(c1, "l", "x1")), "l", "left")
-    )
-    p1 = _model(F.col("t1.n"), "x1", F.col("x1.total"), d1, F.lit(1.0 / words))
-    p2 = _model(F.col("t2.n"), "x2", F.col("x2.total"), d2, p1)
-    p3 = _model(F.col("c"), "x3", F.col("x3.total"), d3, p2)
-    return rows.select("k3", F.ln(p3).cast("float").alias("logp"))
+    short = tops(t2, "n", F.xxhash64("lang", "v", "w"), d2).unionByName(tops(t1, "n", F.xxhash64("lang", "w"), d1))
+    for t, n, names, d in ((t3, "c", ["lang", "u", "v"], d3), (t2, "n", ["lang", "v"], d2), (t1, "n", ["lang"], d1)):
+        short = short.unionByName(contexts(t, n, names, d))
+    short = short.groupBy("key").agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("top"), F.max("total").alias("total"), F.max("rest").alias("rest"))
+    low = F.xxhash64("lang", "u", "v", "w").bitwiseAND(F.lit(0xFFFFFFFF))
+    triple = F.shiftleft("lang", 48).bitwiseOR(F.shiftleft(low, 16)).bitwiseOR(F.col("w").bitwiseAND(F.lit(0xFFFF)))
+    return tops(t3, "c", triple, d3).unionByName(short)
 
 
 def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, lang, n_tokens, perplexity) for each encoded row; perplexity is null without tokens."""
+    """(doc_id, lang, n_tokens, perplexity) for each encoded row; perplexity is null without tokens. words: how many a word is one of where nothing is known of it."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: dict[int, list[np.ndarray]] = {}
@@ -205,33 +181,44 @@ def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame
             k = np.unique(np.concatenate(wait.pop(block)))
             for at in range(0, len(k), 100_000):
                 part = k[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], ["block", "k3"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], ["block", "key"])
 
         for batch in batches:
             blocks = batch.column(2).to_pylist()
-            for block, k in zip(blocks, _packed(batch), strict=True):
-                wait.setdefault(block, []).append(k)
+            for block, lang, packed in zip(blocks, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wait.setdefault(block, []).append(np.unique(np.concatenate(keys(lang, _unpack(packed)))))
             for block in [b for b in wait if b != blocks[-1]] if blocks else []:
                 yield from flush(block)
-            for block, parts in wait.items():
-                if len(parts) > 1:
-                    wait[block] = [np.unique(np.concatenate(parts))]
         for block in list(wait):
             yield from flush(block)
 
-    slices = encoded.select("lang_id", "tokens", "block").mapInArrow(distinct, "block long, k3 long")
-    slices = written(slices)
-    known = slices.join(log_probabilities(slices, counts, words), "k3").select("block", "k3", "logp")
+    slices = encoded.select("lang_id", "tokens", "block").mapInArrow(distinct, "block long, key long")
+    known = slices.join(model(counts), "key").select("block", "key", "top", "total", "rest")
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["k3"].to_numpy())
-        keys, logp = known["k3"].to_numpy()[order], known["logp"].to_numpy()[order]
+        order = np.argsort(known["key"].to_numpy())
+        have = known["key"].to_numpy()[order]
+        top, total, rest = (known[c].to_numpy(float)[order] for c in ("top", "total", "rest"))
+
+        def add(context: np.ndarray, key: np.ndarray, lower: np.ndarray | float) -> np.ndarray:
+            """p of the n-grams `key` by those of their contexts and the shorter ones' p."""
+            at, of = (np.minimum(np.searchsorted(have, x), len(have) - 1) for x in (key, context))
+            own = np.where(have[at] == key, top[at], 0.0)
+            is_context = (have[of] == context) & ~np.isnan(total[of])
+            return np.where(is_context, own / np.where(is_context, total[of], 1.0) + rest[of] * lower, lower)
+
         n, out = [], []
-        for lang, tokens in zip(texts["lang_id"], texts["tokens"], strict=True):
-            t = np.frombuffer(zlib.decompress(tokens), "<u2")
-            k = trigrams(lang, t)
+        for lang, packed in zip(texts["lang_id"], texts["tokens"], strict=True):
+            t = _unpack(packed)
             n.append(len(t))
-            out.append(float(np.exp(-logp[np.searchsorted(keys, k)].mean(dtype=float))) if len(t) else None)
+            if not len(t):
+                out.append(None)
+            elif not len(have):
+                out.append(float(words))
+            else:
+                k0, k1, k2, k3 = keys(lang, t)
+                p = add(k2[:-1], k3, add(k1[:-1], k2[1:], add(k0, k1[1:], 1.0 / words)))
+                out.append(float(np.exp(-np.log(p).mean())))
         return pd.DataFrame({"doc_id": texts["doc_id"], "lang": texts["lang"], "n_tokens": n, "perplexity": pd.Series(out, dtype="float64", index=texts.index)})
 
     texts = encoded.select("block", "doc_id", "lang", "lang_id", "tokens")
@@ -249,16 +236,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("none")).where("q = 1 and none = 0").select("doc_id")
     trusted = checkpoint(trusted)
-    total = trusted.count()
-    share = min(1.0, VOCABULARY_TEXTS / total) if total else 0.0
-    sample = trusted.where(F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(1 << 20)) < share * (1 << 20))
-    vocabulary = learn_vocabulary(docs.select("doc_id", "text").join(broadcast_if_small(sample, BROADCAST_ROWS), "doc_id", "left_semi"))
     names = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1).collect()]
-    encoded = written(encode(docs, vocabulary, {x: i + 1 for i, x in enumerate(names)}))
+    encoded = written(encode(docs, {}, {x: i + 1 for i, x in enumerate(names)}))
     known = broadcast_if_small(trusted, BROADCAST_ROWS)
     counted = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) > 0
     counts = checkpoint(count_trigrams(encoded.where(counted).join(known, "doc_id", "left_semi")))
-    scored = checkpoint(perplexities(encoded, counts, FIRST_WORD + len(vocabulary)))
+    words = counts.select("w").distinct().count() + 1
+    scored = checkpoint(perplexities(encoded, counts, words))
     marked = scored.join(known.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("own", F.when(F.col("trusted") & ~counted, F.col("perplexity")))
     limits = marked.groupBy("lang").agg((F.coalesce(F.percentile_approx("own", QUANTILE, 10_000), F.percentile_approx("perplexity", QUANTILE, 10_000)) * SLACK).alias("threshold"))
     joined = scored.alias("s").join(F.broadcast(limits.limit(LANGUAGES)).alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")

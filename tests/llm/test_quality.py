@@ -76,6 +76,41 @@ def test_keeps_clean_and_drops_junk(spark):
     assert sum(bad) / len(bad) < 0.5
 
 
+def test_keys_are_those_of_spark(spark):
+    tokens = q.numbers("The cat, the Cat", {})
+    assert (q._unpack(q._pack(tokens)) == tokens).all() and not len(q._unpack(q._pack(tokens[:0])))
+    s = [0, 0, *tokens.tolist(), 1]
+    rows = [(5, *s[i : i + 3]) for i in range(len(s) - 2)]
+    want = spark.createDataFrame(rows, "l long, u long, v long, w long").selectExpr("xxhash64(l, w)", "xxhash64(l, v, w)", "shiftleft(l, 48) | shiftleft(xxhash64(l, u, v, w) & 4294967295L, 16) | (w & 65535L)", "xxhash64(l)").collect()
+    k0, k1, k2, k3 = q.keys(5, tokens)
+    assert [tuple(r) for r in want] == [(*r, k0[0]) for r in zip(k1[1:].tolist(), k2[1:].tolist(), k3.tolist(), strict=True)]
+
+
+def test_invented_and_repeated_words_are_noticed(spark):
+    """Junk of ordinary shapes: invented content words, one rare word over and over, shuffled words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    known = [word() for _ in range(600)]
+    after = {w: rng.choices(known, k=3) for w in known}
+
+    def prose():
+        w = [rng.choice(known)]
+        while len(w) < 80:
+            w.append(rng.choice(after[w[-1]]))
+        return w
+
+    trusted = [prose() for _ in range(400)]
+    new = [prose() for _ in range(40)]
+    junk = [[word() for _ in range(80)] for _ in range(20)] + [[rng.choice(known)] * 80 for _ in range(20)] + [rng.sample(w, len(w)) for w in new[:20]]
+    texts = [" ".join(w) for w in trusted + new + junk]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
+    keep = {r.doc_id: r.keep for r in q.classify(docs, labels).collect()}
+    at = len(trusted) + len(new)
+    assert sum(keep[i] for i in range(len(trusted), at)) >= 36
+    assert [sum(keep[i] for i in range(at + k, at + k + 20)) for k in (0, 20, 40)] == [0, 0, 0]
+
+
 def test_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 1), (3, None), (3, 1), (None, 1)], "doc_id long, quality int")
     rows = q.classify(odd, labels).collect()
