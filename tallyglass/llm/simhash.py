@@ -32,6 +32,8 @@ BROADCAST_IDS = 500_000
 #: Groups at an anchor up to this size are compared pair by pair, in vectors across groups.
 SMALL_GROUP = 6
 _CHUNK = 1 << 15
+#: Texts, and shingles found in two of them, that say which shingles are common; on these only the number of candidates depends.
+COMMON_TEXTS, COMMON = 8_000, 100_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, more: int = 0) -> DataFrame:
 
     more: as many further fingerprints of each class's first document, whose links (as near as those of the first
     fingerprint) count if the two texts resemble each other by VERIFIED or more over their sets of five-word shingles.
-    Each gives near copies that fall just beyond the threshold another chance.
+    With any, all pairs of texts that resemble each other so are linked: what the fingerprints leave apart is searched exactly.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows each give a row.
     A null doc_id is never a representative: its row gets its class's component, or null where only null
@@ -200,7 +202,16 @@ def near_duplicates(docs: DataFrame, more: int = 0) -> DataFrame:
         links = links.unionByName(_verified(docs, _further_links(classes)))
     parts = connected_components(links)
     named = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("fp"), F.coalesce("component", "doc").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    found = fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    if not more:
+        return found
+    found = checkpoint(found)
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    known = checkpoint(ids)
+    rest = _verified(docs, _crossing_pairs(docs, known))
+    rest = rest.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    whole = broadcast_if_small(checkpoint(connected_components(rest)), BROADCAST_IDS).withColumnRenamed("node", "component_id")
+    return found.join(whole, "component_id", "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def _further_links(classes: DataFrame) -> DataFrame:
@@ -223,6 +234,79 @@ def _verified(docs: DataFrame, links: DataFrame) -> DataFrame:
     return both.where((F.col("n") > 0) & (F.col("n") >= VERIFIED * (F.col("na") + F.col("nb") - F.col("n")))).select("a", "b")
 
 
+def _crossing_pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): among them every pair of documents of different components whose texts resemble each other by VERIFIED or more.
+
+    known: (doc_id, component). Two such sets of shingles share at least VERIFIED of the larger one, so they meet in the
+    first 1 - VERIFIED of both, in any one order of all shingles: here common ones come last. Of equal texts one is searched with.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    ids = checkpoint(texts.groupBy("h", "size").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().join(known, "doc_id"))
+    split = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id").select("doc_id", "component", words(F.col("text")).alias("w"))
+    sets = split.select("doc_id", "component", shingle_hashes(F.col("w")).alias("s"))
+    share = min(1.0, COMMON_TEXTS / max(1, ids.count()))
+    sample = sets.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 20)) < share * (1 << 20))
+    top = sample.select(F.explode("s").alias("sig")).groupBy("sig").count().where("count > 1").orderBy(F.desc("count"), "sig").limit(COMMON).collect()
+    order = np.argsort(sig := np.array([r["sig"] for r in top], np.int64))
+    sig, often = sig[order], np.array([r["count"] for r in top], np.int64)[order]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, component, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = s.values.to_numpy(zero_copy_only=False)
+                if not (n := len(h)):
+                    continue
+                at = np.minimum(np.searchsorted(sig, h), len(sig) - 1)
+                rank = np.where(sig[at] == h, often[at], 0) if len(sig) else np.zeros(n, np.int64)
+                first = h[np.lexsort((h, rank))[: n - int(np.ceil(n * VERIFIED - 1e-9)) + 1]]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(k, doc)), pa.array(np.full(k, component)), pa.array(np.full(k, n))], ["sig", "doc", "component", "n"])
+
+    rows = sets.mapInArrow(prefixes, "sig long, doc long, component long, n long")
+    # rows of a shingle arrive one after the other; few shingles occur twice
+    return rows.repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(_crossing, "a long, b long").distinct()
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components and of sizes that allow VERIFIED, of rows (sig, doc, component, n) sorted by sig."""
+    wait: list[list[np.ndarray]] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        sig, doc, component, n = (np.concatenate(x) for x in zip(*wait, strict=True))
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.r_[start, len(sig)])
+        for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            c = component[s : s + m]
+            if (c == c[0]).all():
+                continue
+            own, at, count = np.unique(c, return_inverse=True, return_counts=True)
+            main = int(np.argmax(count))
+            for i in np.flatnonzero(at != main):
+                # each two of the others once, and each with all of the largest component
+                other = np.flatnonzero((at == main) | ((at != at[i]) & (np.arange(m) > i)))
+                near = other[np.minimum(n[s + other], n[s + i]) >= np.maximum(n[s + other], n[s + i]) * VERIFIED - 1e-9]
+                if near.size:
+                    a, b = np.full(len(near), doc[s + i]), doc[s + near]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if wait and (cut or wait[-1][0][-1] != now[0][0]):
+            wait.append([x[:cut] for x in now])
+            yield from done()
+            wait = []
+        elif cut:
+            wait = [[x[:cut] for x in now]]
+            yield from done()
+            wait = []
+        wait.append([x[cut:] for x in now])
+    if wait:
+        yield from done()
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -94,3 +94,42 @@ def test_further_fingerprints_find_verified_copies(frame):
     assert all(many[d] // 10 == d // 10 for d in truth)
     assert all(many[d] <= few[d] for d in few)
     assert (many[500], many[501]) == (500, 501)
+
+
+def test_every_resembling_pair_is_linked(frame, monkeypatch):
+    """By bands of resemblance against brute force, in dense groups of near copies too; fingerprints that never meet change nothing."""
+    from .test_decontaminate import shingles
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(12)]
+    rows = []
+    for g in range(12):
+        w = [word() for _ in range(100)] + passage
+        for c in range(6):
+            v = list(w)
+            for _ in range(c * (g % 3 + 1) // 2):
+                v[rng.randrange(100)] = word()
+            rows.append((g * 10 + c, " ".join(v), None, None))
+    rows += [(300, rows[0][1], None, None), (301, "few words", None, None), (302, None, None, None)]
+    sets = {d: shingles(t) for d, t, _, _ in rows}
+    near = lambda a, b: bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    fps = {d: slow_fingerprint(t) for d, t, _, _ in rows}
+    best, changed = {d: d for d in fps}, True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if best[b] < best[a] and ((fps[a] ^ fps[b]).bit_count() <= 3 or near(a, b)):
+                    best[a], changed = best[b], True
+    for common in (100_000, 0):
+        monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows), 7).collect()}
+        bands = {}
+        for a in sets:
+            for b in sets:
+                if a < b and near(a, b):
+                    bands.setdefault(int(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) * 20), []).append(found[a] == found[b])
+        assert {16, 17, 18} <= set(bands)
+        assert {k: sum(v) / len(v) for k, v in bands.items()} == dict.fromkeys(bands, 1.0)
+        assert found == best
