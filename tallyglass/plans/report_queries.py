@@ -11,7 +11,7 @@ from .catalog import query
 from .tabular_queries import LINE, line_rows
 from .text_queries import sql_text
 
-TRIALS = 20
+TRIALS = 1000
 
 
 @query("all_findings")
@@ -32,7 +32,7 @@ def _(read):
 
 @query("monte_carlo_fpr")
 def _(read):
-    wide = simulation.trial_rows(read("region").sparkSession, TRIALS, rows=60, groups=2, variables=4)
+    wide = simulation.trial_rows(read("region").sparkSession, TRIALS)
     names = [c for c in wide.columns if c not in ("source", "idx")]
     return simulation.false_positive_rates(fi.detect_tables(wide, names), TRIALS)
 
