@@ -293,6 +293,12 @@ def _(read):
     return pairs.cross_source_difference(rel.column_pairs(cell, across_sources=True))
 
 
+@query("cross_source_difference_all")
+def _(read):
+    """All columns; the query above has those of its SQL."""
+    return pairs.cross_source_difference(rel.column_pairs(line_cells(read), across_sources=True))
+
+
 _TRIPLE = ["l_quantity", "l_discount", "l_tax"]
 _KEY = " || '|' || ".join(f"printf('%.10g', {c})" for c in _TRIPLE)
 
