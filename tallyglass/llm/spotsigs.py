@@ -6,8 +6,8 @@ two sets. Duplicates are searched for in partitions by set length: sets can only
 if their lengths differ by a factor of t at most, so each partition meets itself and the next; rare-first
 prefixes prune within them, and candidates are compared in full.
 
-A text without an anchor has chains from every word, a text shorter than a chain is one chain, so that
-fingerprints are empty for texts without words only. Two empty fingerprints are alike.
+A text without an anchor, or longer than SPARSE words with fewer chains from anchors than one in SPARSE, has chains from every word; a text shorter than a chain is one chain, so that
+fingerprints are empty for texts without words, and (known limit) for those of up to SPARSE words whose anchors give no chain. Two empty fingerprints are alike.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .components import connected_components
 
 CHAIN = 2
 THRESHOLD = 0.8
+#: A text of more words than this for each chain has chains from every word, as its anchors say too little of it.
+SPARSE = 50
 #: Common words of the corpus' languages, the anchors.
 ANCHORS = frozenset(
     """the of and to a in is it that was for on are with as be by this at from or an
@@ -45,19 +47,22 @@ def signatures(text: str | None, anchors: frozenset[str] = ANCHORS) -> np.ndarra
     """Sorted distinct hashes of the text's chains."""
     words = WORD.findall((text or "").lower())
     content = [w for w in words if w not in anchors]
-    chains: set[str]
-    if len(content) == len(words) or len(content) < CHAIN:
-        chains = {" ".join(words[i : i + CHAIN]) for i in range(max(1, len(words) - CHAIN + 1))} if words else set()
-    else:
-        n, at, chains = len(content) - CHAIN, 0, set()
+    chains: set[str] = set()
+    found = 0
+    if CHAIN <= len(content) < len(words):
+        n, at = len(content) - CHAIN, 0
         follow = list(map(" ".join, zip(*(content[k:] for k in range(CHAIN)), strict=False)))
         for w in words:
             if w in anchors:
                 if at > n:
                     break
                 chains.add(f"{w}:{follow[at]}")
+                found += 1
             else:
                 at += 1
+    all_words = len(content) == len(words) or len(content) < CHAIN or (len(words) > SPARSE and found * SPARSE < len(words))
+    if words and all_words:
+        chains = {" ".join(words[i : i + CHAIN]) for i in range(max(1, len(words) - CHAIN + 1))}
     out = np.fromiter((xxhash.xxh64_intdigest(c) for c in chains), np.uint64, len(chains)).view(np.int64)
     out.sort()
     return out

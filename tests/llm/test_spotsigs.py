@@ -89,3 +89,11 @@ def test_duplicates_brute_force(spark, frame):
     rows = s.duplicates(frame([(d, t, None, None) for d, t in docs])).collect()
     assert len(rows) == len(docs)
     assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {d: (best[d], links[d]) for d in sig}
+
+
+def test_few_anchors():
+    words = [f"w{i}" for i in range(200)]
+    text, edited = " ".join(["the", *words]), " ".join(["the", *words[:100], *(f"x{i}" for i in range(100))])
+    late = s.signatures(" ".join([*words, "the"]))
+    assert len(late) == 200 and s.likeness(late, s.signatures("")) == 0
+    assert len(s.signatures(text)) == 200 and s.likeness(s.signatures(text), s.signatures(edited)) < 0.5
