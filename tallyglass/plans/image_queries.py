@@ -140,4 +140,4 @@ def _(read):
 @query("ssim_verify")
 def _(read):
     pairs = images.hash_similarity(images.hashes(grids(read)), 0.90)
-    return images.verify_pairs(pairs, images.from_grids(grids(read)), 64)
+    return images.verify_pairs(pairs, images.from_grids(grids(read)))
