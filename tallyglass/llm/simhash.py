@@ -11,6 +11,7 @@ is reached yields at most one link a fingerprint, so dense groups never become a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,62 +20,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, partitions, words
+from .common import broadcast_if_small, checkpoint, partitions, table
 from .components import connected_components
-from .decontaminate import shingle_hashes
+from .resemblance import resembling_links
 
 THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
-#: Resemblance over five-word shingles that links of further fingerprints need.
-VERIFIED = 0.8
+#: Words of a shingle where resemblance counts.
+RESEMBLING_WORDS = 5
 BROADCAST_IDS = 500_000
 #: Groups at an anchor up to this size are compared pair by pair, in vectors across groups.
 SMALL_GROUP = 6
 _CHUNK = 1 << 15
-#: Texts, and shingles found in two of them, that say which shingles are common; on these only the number of candidates depends.
-COMMON_TEXTS, COMMON = 8_000, 100_000
+WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of what h is a hash of: h itself for k = 0, else the finaliser of splitmix64 on h and k."""
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def fingerprint(text: bytes | None, more: int = 0) -> list[int]:
-    """Signed 64-bit fingerprints of the whole text: 3-word shingles, repeats included; 0 without words. First that of XXH64, then `more` of other hashes."""
+def fingerprint(text: bytes | None) -> int:
+    """Signed 64-bit fingerprint of the whole text: 3-word shingles, repeats included; 0 without words."""
     words = text.lower().split() if text else []
     if not words:
-        return [0] * (more + 1)
+        return 0
     if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
+        found = [b" ".join(words)]
     else:
-        shingles = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
+        found = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((more + 1, 64), np.int64)
-    for at in range(0, len(shingles), _CHUNK):
-        h = np.array([digest(x, SEED) for x in shingles[at : at + _CHUNK]], "<u8")
-        for k in range(more + 1):
-            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _CHUNK):
+        h = np.array([digest(x, SEED) for x in found[at : at + _CHUNK]], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, more: int = 0) -> DataFrame:
-    """(doc_id, fp, more): one row for each row of docs."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x, more) for x in batch.column(1).to_pylist()]
-            others = pa.array([x[1:] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), others], ["doc_id", "fp", "more"])
+            found = [fingerprint(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, more array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _flips() -> list[np.ndarray]:
@@ -112,10 +99,9 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         doc = batch.column(1).to_numpy(zero_copy_only=False)
-        which = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         for k in (0, 1):
             row, anchor = anchors((fp >> np.uint64(32 * k)).astype(np.uint32))
-            key = anchor.astype(np.int64) | (k << 32) | (which[row] << 33)
+            key = anchor.astype(np.int64) | (k << 32)
             for at in range(0, len(row), _CHUNK):
                 r = row[at : at + _CHUNK]
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + _CHUNK]), pa.array(fp[r].view(np.int64)), pa.array(doc[r])], ["anchor", "fp", "doc"])
@@ -173,141 +159,50 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_links(classes: DataFrame) -> DataFrame:
-    """(a, b) over (fp, doc), one row for each fingerprint: links that connect exactly what chains of at most 3 differing bits connect.
-
-    With a column k, fingerprints of different k are strangers.
-    """
+    """(a, b) over (fp, doc), one row for each fingerprint: links that connect exactly what chains of at most 3 differing bits connect."""
     n = partitions(classes.sparkSession)
-    k = F.col("k") if "k" in classes.columns else F.lit(0)
-    at_anchors = classes.select("fp", "doc", k.cast("int").alias("k")).mapInArrow(_replicate, "anchor long, fp long, doc long")
+    at_anchors = classes.select("fp", "doc").mapInArrow(_replicate, "anchor long, fp long, doc long")
     return at_anchors.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, more: int = 0) -> DataFrame:
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the text's runs of RESEMBLING_WORDS words; of fewer words, of the whole sequence; empty without words."""
+    found = WORD.findall(text.lower())
+    if len(found) < RESEMBLING_WORDS:
+        runs = {" ".join(found)} if found else set()
+    else:
+        runs = set(map(" ".join, zip(*(found[k:] for k in range(RESEMBLING_WORDS)), strict=False)))
+    digest = xxhash.xxh64_intdigest
+    out = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in runs), np.uint64, len(runs)).view(np.int64)
+    out = np.unique(out)
+    return out
+
+
+def near_duplicates(docs: DataFrame, resemblance: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id: the smallest doc_id reachable over links.
 
-    more: as many further fingerprints of each class's first document, whose links (as near as those of the first
-    fingerprint) count if the two texts resemble each other by VERIFIED or more over their sets of five-word shingles.
-    With any, all pairs of texts that resemble each other so are linked: what the fingerprints leave apart is searched exactly.
+    resemblance: with it, texts are linked too if their sets of five-word shingles resemble each other by so much or more;
+    such pairs are searched exactly, whatever their fingerprints.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows each give a row.
     A null doc_id is never a representative: its row gets its class's component, or null where only null
     ids have that fingerprint. Other columns of docs are not read. An empty table gives an empty one.
     """
-    fps = checkpoint(fingerprints(docs, more))
-    first = fps.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "more")).alias("d"))
-    classes = checkpoint(first.select("fp", F.col("d.doc_id").alias("doc"), "d.more"))
-    links = near_duplicate_links(classes)
-    if more:
-        links = links.unionByName(_verified(docs, _further_links(classes)))
-    parts = connected_components(links)
+    fps = checkpoint(fingerprints(docs))
+    classes = checkpoint(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    parts = connected_components(near_duplicate_links(classes))
     named = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("fp"), F.coalesce("component", "doc").alias("component_id"))
     found = fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-    if not more:
+    if resemblance is None:
         return found
     found = checkpoint(found)
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
-    known = checkpoint(ids)
-    rest = _verified(docs, _crossing_pairs(docs, known))
-    rest = rest.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    whole = broadcast_if_small(checkpoint(connected_components(rest)), BROADCAST_IDS).withColumnRenamed("node", "component_id")
-    return found.join(whole, "component_id", "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
-
-
-def _further_links(classes: DataFrame) -> DataFrame:
-    rows = classes.select("doc", F.posexplode("more").alias("k", "fp"))
-    one = checkpoint(rows.groupBy("k", "fp").agg(F.min("doc").alias("rep")))
-    near = near_duplicate_links(one.withColumnRenamed("rep", "doc"))
-    equal = rows.join(one, ["k", "fp"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    both = near.unionByName(equal)
-    return checkpoint(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
-def _verified(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """The links whose texts resemble each other by VERIFIED or more; texts of fewer than five words have no shingle and none."""
-    ids = checkpoint(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    split = texts.select("doc_id", words(F.col("text")).alias("w"))
-    sets = checkpoint(split.select("doc_id", shingle_hashes(F.col("w")).alias("s")))
-    wide = links.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = wide.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where((F.col("n") > 0) & (F.col("n") >= VERIFIED * (F.col("na") + F.col("nb") - F.col("n")))).select("a", "b")
-
-
-def _crossing_pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): among them every pair of documents of different components whose texts resemble each other by VERIFIED or more.
-
-    known: (doc_id, component). Two such sets of shingles share at least VERIFIED of the larger one, so they meet in the
-    first 1 - VERIFIED of both, in any one order of all shingles: here common ones come last. Of equal texts one is searched with.
-    """
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
-    ids = checkpoint(texts.groupBy("h", "size").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().join(known, "doc_id"))
-    split = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id").select("doc_id", "component", words(F.col("text")).alias("w"))
-    sets = split.select("doc_id", "component", shingle_hashes(F.col("w")).alias("s"))
-    share = min(1.0, COMMON_TEXTS / max(1, ids.count()))
-    sample = sets.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 20)) < share * (1 << 20))
-    top = sample.select(F.explode("s").alias("sig")).groupBy("sig").count().where("count > 1").orderBy(F.desc("count"), "sig").limit(COMMON).collect()
-    order = np.argsort(sig := np.array([r["sig"] for r in top], np.int64))
-    sig, often = sig[order], np.array([r["count"] for r in top], np.int64)[order]
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, component, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = s.values.to_numpy(zero_copy_only=False)
-                if not (n := len(h)):
-                    continue
-                at = np.minimum(np.searchsorted(sig, h), len(sig) - 1)
-                rank = np.where(sig[at] == h, often[at], 0) if len(sig) else np.zeros(n, np.int64)
-                first = h[np.lexsort((h, rank))[: n - int(np.ceil(n * VERIFIED - 1e-9)) + 1]]
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(k, doc)), pa.array(np.full(k, component)), pa.array(np.full(k, n))], ["sig", "doc", "component", "n"])
-
-    rows = sets.mapInArrow(prefixes, "sig long, doc long, component long, n long")
-    # rows of a shingle arrive one after the other; few shingles occur twice
-    return rows.repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(_crossing, "a long, b long").distinct()
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components and of sizes that allow VERIFIED, of rows (sig, doc, component, n) sorted by sig."""
-    wait: list[list[np.ndarray]] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        sig, doc, component, n = (np.concatenate(x) for x in zip(*wait, strict=True))
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.diff(np.r_[start, len(sig)])
-        for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            c = component[s : s + m]
-            if (c == c[0]).all():
-                continue
-            own, at, count = np.unique(c, return_inverse=True, return_counts=True)
-            main = int(np.argmax(count))
-            for i in np.flatnonzero(at != main):
-                # each two of the others once, and each with all of the largest component
-                other = np.flatnonzero((at == main) | ((at != at[i]) & (np.arange(m) > i)))
-                near = other[np.minimum(n[s + other], n[s + i]) >= np.maximum(n[s + other], n[s + i]) * VERIFIED - 1e-9]
-                if near.size:
-                    a, b = np.full(len(near), doc[s + i]), doc[s + near]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if wait and (cut or wait[-1][0][-1] != now[0][0]):
-            wait.append([x[:cut] for x in now])
-            yield from done()
-            wait = []
-        elif cut:
-            wait = [[x[:cut] for x in now]]
-            yield from done()
-            wait = []
-        wait.append([x[cut:] for x in now])
-    if wait:
-        yield from done()
+    known = checkpoint(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component")))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
+    links = resembling_links(texts, known.withColumnRenamed("doc_id", "doc"), shingles, resemblance)
+    between = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = broadcast_if_small(checkpoint(connected_components(between)), BROADCAST_IDS).withColumnRenamed("node", "component_id")
+    return found.join(merged, "component_id", "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
