@@ -13,8 +13,8 @@ from tallyglass.llm.common import broadcast_if_small, checkpoint, shared_dir, ta
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids to drop are broadcast up to this number only; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
-#: Further fingerprints of the near-duplicate stage; their links are verified over five-word shingles.
-MORE_FINGERPRINTS = 7
+#: Near-duplicates are linked by their fingerprints, and by this resemblance of their five-word shingles.
+RESEMBLANCE = 0.8
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; repeated rows of an id count once."""
     docs = docs.select(*COLUMNS)
-    found = checkpoint(simhash.near_duplicates(docs, MORE_FINGERPRINTS))
+    found = checkpoint(simhash.near_duplicates(docs, RESEMBLANCE))
     kept = _without(docs, found.where("component_id < doc_id").select("doc_id").distinct())
     repeated = checkpoint(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
