@@ -200,35 +200,74 @@ def _apart(threshold: float):
     return run
 
 
-def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -> DataFrame:
-    """Of pairs (a, b), checkpointed, those whose sets resemble each other by the threshold or more."""
+def _bitmap(h: np.ndarray) -> bytes:
+    """A bit for each of the set's hashes by its low bits; 4 to 8 bits a hash."""
+    bits = np.zeros(max(512, 1 << (4 * len(h) - 1).bit_length()), np.uint8)
+    bits[h & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_resemble(na: int, x: np.ndarray, nb: int, y: np.ndarray, threshold: float) -> bool:
+    """False only where bitmaps prove that two sets share too little: a bit that only one has is a hash that only one has."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    only_a, only_b = (int(np.bitwise_count(v).sum(dtype=np.int64)) for v in (x & ~y, y & ~x))
+    return min(na - only_a, nb - only_b) >= (na + nb) * threshold / (1 + threshold) - 1e-6
+
+
+def _share(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted distinct arrays share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
+def _compared(texts: DataFrame, pairs: DataFrame, pack, near) -> DataFrame:
+    """The pairs (a, b) of which near(of a, of b) holds, by what pack(text) gives: (n, bytes)."""
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [sets(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "s"])
+            n, packed = zip(*map(pack, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], ["doc", "n", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = 0
-                if len(x):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int(np.count_nonzero(y[at] == x))
-                near.append(both > 0 and both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(near, pa.bool_())
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [near(n, x.as_buffer(), m, y.as_buffer()) for n, x, m, y in zip(na, batch.column(4), nb, batch.column(5), strict=True)]
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     wanted = texts.select("doc", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc", "left_semi")
-    packed = checkpoint(wanted.mapInArrow(pack, "doc long, s binary"))
-    wide = pairs.join(packed.toDF("a", "sa"), "a").join(packed.toDF("b", "sb"), "b")
-    return wide.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    packed = checkpoint(wanted.mapInArrow(encode, "doc long, n int, s binary"))
+    wide = pairs.join(packed.toDF("a", "na", "sa"), "a").join(packed.toDF("b", "nb", "sb"), "b")
+    return wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
+
+
+def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """Of pairs (a, b), checkpointed, those whose sets resemble each other by the threshold or more.
+
+    Bitmaps of half a byte to a byte a hash are compared first; whole sets travel only for the few pairs these leave.
+    """
+
+    def bitmap(text: str) -> tuple[int, bytes]:
+        return len(h := sets(text)), _bitmap(h)
+
+    def whole(text: str) -> tuple[int, bytes]:
+        return len(h := sets(text)), h.tobytes()
+
+    def may(n: int, x: pa.Buffer, m: int, y: pa.Buffer) -> bool:
+        return _may_resemble(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), threshold)
+
+    def is_near(n: int, x: pa.Buffer, m: int, y: pa.Buffer) -> bool:
+        both = _share(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
+        return both > 0 and both >= threshold * (n + m - both) - 1e-9
+
+    return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may)), whole, is_near)
 
 
 def resembling_links(texts: DataFrame, known: DataFrame, sets: Sets, threshold: float) -> DataFrame:

@@ -133,3 +133,18 @@ def test_every_resembling_pair_is_linked(frame, monkeypatch):
         assert {16, 17, 18} <= set(bands)
         assert {k: sum(v) / len(v) for k, v in bands.items()} == dict.fromkeys(bands, 1.0)
         assert found == best
+
+
+def test_bitmaps_never_rule_out_what_resembles():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 900)))
+        b = np.unique(np.r_[rng.permutation(a)[: rng.integers(0, len(a) + 1)], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 300))])
+        both = resemblance._share(a, b)
+        assert both == len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(resemblance._bitmap(v), np.uint8) for v in (a, b))
+        may = resemblance._may_resemble(len(a), x, len(b), y, 0.8)
+        assert may or both < 0.8 * (len(a) + len(b) - both)
+        ruled_out += not may
+    assert ruled_out > 200
