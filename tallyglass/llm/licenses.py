@@ -3,8 +3,9 @@
 The index holds, for each licence template, its rarest words (by inverse document frequency over all
 documents and templates) with their positions. A file's words that the index knows are looked up, and the
 postings are intersected by relative position (place in the file minus place in the template): the IDF
-weight that agrees on one relative position is the coverage. A template that reaches MIN_COVERAGE counts
-if all its mandatory key phrases stand at their places, give or take SLACK words.
+weight of the words that agree on one relative position, or stand up to SLACK words before it, is the coverage, so that
+inserted and deleted words cost nothing but themselves. A template that reaches MIN_COVERAGE counts if all its mandatory
+key phrases stand at their places, give or take SLACK words.
 
 Everything but the document-frequency count is one narrow pass without a shuffle, so neither hot words nor
 hot files gather rows anywhere; the count is pre-aggregated to at most one row a licence word and task.
@@ -138,11 +139,18 @@ def base_places(w: Column) -> Column:
 
 
 def template_matches(index: list[tuple[str, int, int, float]], templates=TEMPLATES, w: str = "_w") -> Column:
-    """Array of (t, d, s): template, relative position and coverage of the verified matches; w: name of the words' column."""
+    """Array of (t, d, s): template, relative position and coverage of the verified matches; w: name of the words' column.
+
+    A fold over the sorted postings proposes positions by the weight that lies within SLACK before them; coverage is then
+    counted once a template word. Of positions within SLACK of each other the best covered, then the first, stands.
+    """
     by_word: dict[str, list[str]] = {}
+    by_template: dict[int, list[str]] = {}
     for word, t, p, weight in index:
         by_word.setdefault(word, []).append(f"named_struct('t', {t}, 'p', {p}, 'w', {weight!r}D)")
+        by_template.setdefault(t, []).append(f"named_struct('p', {p}, 'x', {_sql(word)}, 'w', {weight!r}D)")
     postings = "map(" + ", ".join(f"{_sql(x)}, array({', '.join(p)})" for x, p in by_word.items()) + ")"
+    rare = "array(" + ", ".join(f"array({', '.join(by_template[t])})" for t in range(len(templates))) + ")"
     known = ", ".join(map(_sql, by_word))
     phrases = []
     for _, text, needed in templates:
@@ -154,16 +162,23 @@ def template_matches(index: list[tuple[str, int, int, float]], templates=TEMPLAT
     keys = "array(" + ", ".join(phrases) + ")"
     hits = f"filter(transform({w}, (x, i) -> IF(x IN ({known}), named_struct('i', i, 'x', x), NULL)), h -> h IS NOT NULL)"
     matches = f"array_sort(flatten(transform({hits}, h -> transform({postings}[h.x], q -> named_struct('t', q.t, 'd', h.i - q.p, 'p', q.p, 'w', q.w)))))"
-    keep = f"IF(a.s >= {MIN_COVERAGE}D, concat(a.out, array(named_struct('t', a.t, 'd', a.d, 's', a.s))), a.out)"
+    # the sums at the position, and at the two before it that the template has (e: place, r: sum)
+    near = "a.s + " + " + ".join(f"IF(a.d - a.e{k} <= {SLACK}, a.r{k}, 0D)" for k in range(1, SLACK + 1))
+    keep = f"IF({near} >= {MIN_COVERAGE - 1e-9}D, concat(a.out, array(named_struct('t', a.t, 'd', a.d))), a.out)"
+    state = lambda t, d, total, shift, out: f"named_struct('t', {t}, 'd', {d}, 's', {total}, " + "".join(f"'e{k}', {e}, 'r{k}', {r}, " for k, (e, r) in enumerate(shift, 1)) + f"'out', {out})"
+    none = [("-1000000000", "0D")] * SLACK
+    now = [(f"a.e{k}", f"a.r{k}") for k in range(1, SLACK + 1)]
     folded = (
-        f"aggregate({matches}, named_struct('t', -1, 'd', 0, 's', 0D, 'out', CAST(array() AS array<struct<t:int,d:int,s:double>>)), "
-        f"(a, m) -> IF(a.t = m.t AND a.d = m.d, named_struct('t', a.t, 'd', a.d, 's', a.s + m.w, 'out', a.out), "
-        f"named_struct('t', m.t, 'd', m.d, 's', m.w, 'out', {keep})), a -> {keep})"
-    )
-    near = f"sequence({-SLACK}, {SLACK})"
-    return F.expr(
-        f"filter({folded}, c -> forall({keys}[c.t], f -> exists({near}, k -> c.d + f.o + k >= 0 AND slice({w}, greatest(c.d + f.o + k + 1, 1), size(f.x)) = f.x)))"
+        f"aggregate({matches}, {state('-1', '0', '0D', none, 'CAST(array() AS array<struct<t:int,d:int>>)')}, "
+        f"(a, m) -> IF(a.t = m.t AND a.d = m.d, {state('a.t', 'a.d', 'a.s + m.w', now, 'a.out')}, "
+        f"IF(a.t = m.t, {state('m.t', 'm.d', 'm.w', [('a.d', 'a.s'), *now[:-1]], keep)}, {state('m.t', 'm.d', 'm.w', none, keep)})), a -> {keep})"
     )
+    covered = f"aggregate({rare}[c.t], 0D, (s, q) -> s + IF(exists(sequence(0, {SLACK}), k -> get({w}, c.d + q.p - k) <=> q.x), q.w, 0D))"
+    steps = f"sequence({-SLACK}, {SLACK})"
+    phrased = f"forall({keys}[c.t], f -> exists({steps}, k -> c.d + f.o + k >= 0 AND slice({w}, greatest(c.d + f.o + k + 1, 1), size(f.x)) = f.x))"
+    scored = f"filter(transform({folded}, c -> named_struct('t', c.t, 'd', c.d, 's', {covered})), c -> c.s >= {MIN_COVERAGE - 1e-9}D AND {phrased})"
+    better = f"x.t = c.t AND abs(x.d - c.d) <= {SLACK} AND (x.s > c.s OR (x.s = c.s AND x.d < c.d))"
+    return F.expr(f"transform(array({scored}), m -> filter(m, c -> NOT exists(m, x -> {better})))[0]")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:

@@ -30,22 +30,22 @@ def slow_base(text):
 
 def slow_matches(text, index):
     w = WORD.findall(lower(text))
-    cover = {}
-    for word, t, p, weight in index:
-        for i, x in enumerate(w):
-            if x == word:
-                cover[t, i - p] = cover.get((t, i - p), 0) + weight
-    out = set()
-    for (t, d), s in cover.items():
-        tw = li.template_words(li.TEMPLATES[t][1])
-        good = True
-        for phrase in li.TEMPLATES[t][2]:
-            p = phrase.split()
-            o = next(i for i in range(len(tw)) if tw[i : i + len(p)] == p)
-            good &= any(d + o + k >= 0 and w[d + o + k : d + o + k + len(p)] == p for k in range(-li.SLACK, li.SLACK + 1))
-        if s >= li.MIN_COVERAGE and good:
-            out.add((li.TEMPLATES[t][0], d, round(s, 9)))
-    return out
+    at = lambda i: w[i] if 0 <= i < len(w) else None
+    found = []
+    for t, (label, template, phrases) in enumerate(li.TEMPLATES):
+        own = [(p, word, weight) for word, k, p, weight in index if k == t]
+        tw = li.template_words(template)
+        for d in sorted({i - p for i, x in enumerate(w) for p, word, _ in own if x == word}):
+            s = sum(weight for p, word, weight in own if any(at(d + p - k) == word for k in range(li.SLACK + 1)))
+            good = True
+            for phrase in phrases:
+                p = phrase.split()
+                o = next(i for i in range(len(tw)) if tw[i : i + len(p)] == p)
+                good &= any(d + o + k >= 0 and w[d + o + k : d + o + k + len(p)] == p for k in range(-li.SLACK, li.SLACK + 1))
+            if s >= li.MIN_COVERAGE - 1e-9 and good:
+                found.append((t, label, d, s))
+    better = lambda x, c: x[0] == c[0] and abs(x[2] - c[2]) <= li.SLACK and (x[3] > c[3] + 1e-12 or (abs(x[3] - c[3]) <= 1e-12 and x[2] < c[2]))
+    return {(c[1], c[2], round(c[3], 9)) for c in found if not any(better(x, c) for x in found)}
 
 
 def check(spark, docs):
@@ -79,6 +79,30 @@ def test_driver_documents(spark, sf):
     assert got == {r.doc_id: slow_base(r.text) for r in docs.collect()}
 
 
+def altered():
+    """(template, text): each template with a word inserted, and where its key phrases allow it changed or left out."""
+    for t, (_, text, phrases) in enumerate(li.TEMPLATES):
+        w = li.template_words(text)
+        inside = {i + k for p in phrases for i in li._places(w, p.split()) for k in range(len(p.split()))}
+        cut = {i for i in range(1, len(w)) if not (i in inside and i - 1 in inside)} or {0}
+        i = min(cut, key=lambda i: abs(i - len(w) / 2))
+        yield t, " ".join([*w[:i], "inserted", *w[i:]])
+        if free := [i for i in range(len(w)) if i not in inside]:
+            j = min(free, key=lambda i: abs(i - len(w) / 2))
+            yield t, " ".join([*w[:j], "changed", *w[j + 1 :]])
+            yield t, " ".join([*w[:j], *w[j + 1 :]])
+
+
+def test_altered_notices(spark, frame):
+    cases = list(altered())
+    docs = frame([(i, f"some words before it {x} and some after", None, None) for i, (_, x) in enumerate(cases)])
+    assert check(spark, docs) == len(cases)
+    labels = {r.doc_id: {m.label for m in r.matches} for r in li.scan_licenses(docs).collect()}
+    assert all(li.TEMPLATES[t][0] in labels[i] for i, (t, _) in enumerate(cases))
+
+
 def test_odd_rows(odd):
+    clash = odd.withColumnRenamed("n_chars", "score").withColumnRenamed("lang", "n_words").withColumnRenamed("source", "matches")
+    assert {r.score for r in li.scan_licenses(clash).collect()} == {0.0}
     assert li.scan_licenses(odd.withColumnRenamed("n_chars", "label")).count() == 8
     assert li.scan_licenses(odd.where("false")).count() == 0
