@@ -7,13 +7,17 @@ are joined back to all paths (rows) that hold the blob.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, table
+from .common import checkpoint, shared_dir, table
 
 RULE_VERSION = "2"
-BROADCAST_BLOBS = 20_000
+#: Findings are broadcast while they have so many spans at most (12 bytes a span, 32 a blob); beyond that the join shuffles.
+BROADCAST_SPANS = 500_000
 #: (kind, pattern, what must stand in the text for a match, group and its least length) in the order spans sort in.
 #: The first three patterns are fixed values: assign keeps matches whose group 2 has 6 characters or more; for
 #: access and hex the least lengths of 20 and 24 characters stand in the pattern.
@@ -28,6 +32,7 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,rank:int,end:int>>"
+LEDGER = f"blob binary, spans {SPANS}, rule_version string"
 
 
 def _kind_spans(text: Column, rank: int) -> Column:
@@ -69,6 +74,8 @@ def blob_id(text: Column) -> Column:
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, spans): one for each blob of docs that `ledger` lacks at this rule version.
 
+    docs may hold every version of a path, one row each; a version that came back is not scanned again.
+
     Copies meet once a blob and map task before the shuffle, so a text that a third of the rows share is one row
     from each task.
     """
@@ -85,15 +92,38 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str
 
     Null texts count as empty. Every row gets its blob's spans, so repeated rows, null ids and copies each give a
     row; other columns go along. Blobs without findings stay in the ledger, but only those with findings are
-    joined back. An empty table gives empty ones.
+    joined back. Repeated ledger rows count once. An empty table gives empty ones.
     """
     new = checkpoint(scan_unseen(docs, ledger, rule_version))
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select(new.columns))
-    hits = broadcast_if_small(known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), BROADCAST_BLOBS)
+    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select(new.columns))
+    hits = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    if (hits.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        hits = F.broadcast(hits)
     joined = docs.withColumn("_id", blob_id(F.col("text"))).join(hits, F.col("_id") == F.col("_blob"), "left")
     return joined.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_id", "_blob", "_spans"), new
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at path, by rule version; None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """findings() of docs by the ledger stored at path, to which the new rows are added.
+
+    The rows to add are checkpointed before they are written, so a lost executor repeats no scan; a run that breaks off
+    before it ends leaves the ledger as it was or with all its rows.
+    """
+    found, new = findings(docs, read_ledger(docs.sparkSession, path), rule_version)
+    new.select("blob", "spans", "rule_version").write.mode("append").partitionBy("rule_version").parquet(path)
+    return found
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every span replaced by the mark; overlapping spans by one mark."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -107,8 +137,9 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
+    """The findings of all documents; the ledger is a new one in the shared folder, so that a result never hangs on earlier runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = findings(docs)
+    found = scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
     kinds = F.array(*[F.lit(r[0]) for r in RULES])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
