@@ -13,20 +13,27 @@ def shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def runs(text, n):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}, len(w)
+
+
 def slow(docs, items):
-    s = {i: shingles(t) for i, t in items if i is not None}
+    s = {i: shingles(t) or (runs(t, runs(t, 1)[1])[0] if runs(t, 1)[1] else set()) for i, t in items if i is not None}
+    size = {i: min(5, runs(t, 1)[1]) for i, t in items if i is not None}
     out = {}
     for doc, text in docs:
-        have = shingles(text)
+        by = {n: runs(text, n)[0] for n in set(size.values()) if n}
         for i, q in s.items():
+            have = by.get(size[i], set())
             if doc is not None and q and len(q & have) / len(q) >= 0.8:
                 out[doc, i] = max(out.get((doc, i), 0), len(q & have) / len(q))
     return out
 
 
 def run(spark, docs, items):
-    a = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, text string, item_id string").drop("item_id")
-    b = spark.createDataFrame(items, "item_id long, text string")
+    a = spark.createDataFrame([(*r, "clash", 1, 2) for r in docs], "doc_id long, text string, item_id string, containment int, hash int")
+    b = spark.createDataFrame([(*r, 1, "x") for r in items], "item_id long, text string, doc_id long, size string")
     rows = d.contained(a, b).collect()
     got = {(r.doc_id, r.item_id): pytest.approx(r.containment) for r in rows}
     assert len(got) == len(rows)
@@ -36,8 +43,8 @@ def run(spark, docs, items):
 def cases(seed=3):
     rng = random.Random(seed)
     text = lambda n: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
-    items = [(i, text(n)) for i, n in enumerate([4, 5, 6, 9, 14, 20, 40, 90, 300, 700])] + [(50, None), (51, ""), (None, text(9)), (52, "no " * 30)]
-    docs = [(100, None), (101, ""), (102, "short"), (None, items[5][1])]
+    items = [(i, text(n)) for i, n in enumerate([4, 5, 6, 9, 14, 20, 40, 90, 300, 700])] + [(50, None), (51, ""), (None, text(9)), (52, "no " * 30), (53, "the of and"), (54, "Xylem!")]
+    docs = [(100, None), (101, ""), (102, "short, xylem"), (104, "a the of and b"), (None, items[5][1])]
     for k, (i, t) in enumerate(items[:10]):
         docs.append((k, f"{text(80)}. {t}!? {text(400)}"))
         w = t.split()
@@ -53,6 +60,7 @@ def test_brute_force(spark, monkeypatch):
     assert len(want) > 20
     assert run(spark, docs, items) == want
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "SHARED", 0)
     assert run(spark, docs, items) == want
     assert run(spark, [], items) == {} == run(spark, docs, [])
 
