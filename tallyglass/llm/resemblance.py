@@ -61,7 +61,7 @@ def prefix_rows(texts: DataFrame, sets: Sets, threshold: float) -> DataFrame:
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                own = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                own = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 33
                 if own in seen:
                     continue
                 seen.add(own)

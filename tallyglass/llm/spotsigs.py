@@ -2,29 +2,30 @@
 
 A signature is a chain of the CHAIN content words that follow a common word (the anchor). A text's
 fingerprint is the sorted set of its signatures' 64-bit hashes, and likeness is the Jaccard resemblance of
-two sets. Duplicates are searched for in partitions by set length: sets can only reach a resemblance t
-if their lengths differ by a factor of t at most, so each partition meets itself and the next; rare-first
-prefixes prune within them, and candidates are compared in full.
+two sets. Duplicates are searched for among sets whose lengths differ by a factor of the threshold at most, as others
+can't reach it; rare-first prefixes and bitmaps prune there, and candidates are compared in full (resemblance.py).
 
-A text without an anchor, or longer than SPARSE words with fewer chains from anchors than one in SPARSE, has chains from every word; a text shorter than a chain is one chain, so that
-fingerprints are empty for texts without words, and (known limit) for those of up to SPARSE words whose anchors give no chain. Two empty fingerprints are alike.
+A text whose anchors give no chain, or longer than SPARSE words with fewer chains from anchors than one in SPARSE, has
+chains from every word; a text shorter than a chain is one chain, so that fingerprints are empty for texts without words
+only. Two empty fingerprints are alike.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, table
+from .common import broadcast_if_small, checkpoint, partitions, table
 from .components import connected_components
+from .resemblance import BROADCAST_IDS, resembling_links
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -38,9 +39,10 @@ ANCHORS = frozenset(
     el los las y es del una por con se su para no lo al""".split()
 )
 WORD = re.compile(r"[^\W_]+")
-ROWS_A_RANGE = 4_000
-#: Ranges at most; as tasks stream over their sorted rows, larger ranges need no more memory.
-MAX_RANGES = 512
+#: Rows of a range, up to RANGES ranges; beyond those the session's shuffle partitions say how many there are.
+ROWS_A_RANGE, RANGES = 4_000, 1 << 14
+#: Where rows without an id stand in the order.
+LAST = (1 << 63) - 1
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
@@ -60,8 +62,7 @@ def signatures(text: str | None, anchors: frozenset[str] = ANCHORS) -> np.ndarra
                 found += 1
             else:
                 at += 1
-    all_words = len(content) == len(words) or len(content) < CHAIN or (len(words) > SPARSE and found * SPARSE < len(words))
-    if words and all_words:
+    if words and (not chains or (len(words) > SPARSE and found * SPARSE < len(words))):
         chains = {" ".join(words[i : i + CHAIN]) for i in range(max(1, len(words) - CHAIN + 1))}
     out = np.fromiter((xxhash.xxh64_intdigest(c) for c in chains), np.uint64, len(chains)).view(np.int64)
     out.sort()
@@ -88,92 +89,116 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links): one row for each row of docs with an id.
+    """(doc_id, class_id): one row for each id of docs; class_id: the smallest doc_id reachable over texts that resemble each other by `threshold` or more.
 
-    Equal fingerprints are one class from the start. n_links: other fingerprints at resemblance `threshold` or
-    more; class_id: the smallest doc_id reachable over those links. Null ids are left out; repeated rows each
-    give a row.
+    Equal texts are one class, those without words among them; of an id's several texts all count. Rows without an id
+    have none. An empty table gives an empty one.
     """
-    fps = checkpoint(fingerprints(docs.where("doc_id is not null")).withColumn("fp", F.xxhash64("fingerprint", F.size("fingerprint"))))
-    one = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("fingerprint").alias("sigs")).withColumn("n", F.size("sigs")).where("n > 0"))
-    part = F.floor(F.log("n") / F.lit(-math.log(threshold))).cast("int")
-    sigs = one.select("doc", "n", part.alias("part"), F.explode("sigs").alias("sig"))
-    frequency = sigs.groupBy("sig").count()
-    rare = Window.partitionBy("doc").orderBy("count", "sig")
-    prefix = sigs.join(frequency, "sig").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    low = prefix.select("sig", F.col("doc").alias("a"), F.col("n").alias("na"), "part", F.explode(F.array("part", F.col("part") + 1)).alias("meet"))
-    high = prefix.select("sig", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("meet"))
-    pairs = low.join(high, ["sig", "meet"]).where("a <> b and (part < meet or a < b)").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b").distinct()
-    left, right = one.select(F.col("doc").alias("a"), F.col("sigs").alias("sa")), one.select(F.col("doc").alias("b"), F.col("sigs").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = checkpoint(pairs.join(left, "a").join(right, "b").where(both >= (F.size("sa") + F.size("sb") - both) * threshold - 1e-9).select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    named = (
-        fps.groupBy("fp")
-        .agg(F.min("doc_id").alias("doc"))
-        .join(degree, "doc", "left")
-        .join(connected_components(links).withColumnRenamed("node", "doc"), "doc", "left")
-        .select("fp", F.coalesce("component", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    return fps.join(named, "fp").select("doc_id", "class_id", "n_links")
-
-
-def _ranges(ids: DataFrame) -> tuple[list[int], list[int]]:
-    """(bounds, first): bounds between ranges of about ROWS_A_RANGE ids, and each range's first id; one number a range."""
-    n = ids.count()
-    k = max(1, min(MAX_RANGES, -(-n // ROWS_A_RANGE)))
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / k for i in range(1, k)], 1 / (4 * k))}) if k > 1 else []
-    first = {r["r"]: r["first"] for r in ids.groupBy(_range(bounds).alias("r")).agg(F.min("doc_id").alias("first")).collect()}
-    return bounds, [first[r] for r in sorted(first)]
-
-
-def _range(bounds: list[int]):
-    """Number of the bounds at or below doc_id."""
-    return F.coalesce(F.array_position(F.transform(F.array(*[F.lit(b) for b in bounds], F.lit(None).cast("long")), lambda b: F.coalesce(b > F.col("doc_id"), F.lit(True))), F.lit(True)) - 1, F.lit(0)).cast("int")
-
-
-def with_next_text(docs: DataFrame, result: str, use) -> DataFrame:
-    """use(doc_id, text, next_text) -> a result row, for each row of docs by ascending doc_id (rows of one id by text); the last row's next is the first.
-
-    One range shuffle of the rows: a range's first row also goes to the range before, so that every range
-    holds its rows' successors, and tasks stream over their sorted rows. Rows without an id have no place in the
-    order and are left out.
+    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    same = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), "text").alias("h2")]
+    first = known.groupBy(*same).agg(F.min("doc").alias("first"))
+    by_text = checkpoint(known.select("doc", *same).join(first, ["h", "h2"]).select("doc", "first"))
+    # an id's several texts are one class, and so what equals them
+    several = connected_components(by_text, "doc", "first")
+    start = checkpoint(by_text.select("doc").distinct().join(several.toDF("doc", "component"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")))
+    links = resembling_links(known, start, signatures, threshold)
+    between = links.join(start.toDF("a", "ca"), "a").join(start.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = checkpoint(connected_components(between)).toDF("component", "whole")
+    return start.join(broadcast_if_small(merged, BROADCAST_IDS), "component", "left").select(F.col("doc").alias("doc_id"), F.coalesce("whole", "component").alias("class_id"))
+
+
+def _ranges(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, ranges, first): bounds between ranges of keys, the ranges that have rows, and each one's first key; one number a range."""
+    n = keys.count()
+    k = max(1, partitions(keys.sparkSession), min(RANGES, -(-n // ROWS_A_RANGE))) if n else 1
+    bounds = np.array(sorted({min(int(x), LAST) for x in keys.approxQuantile("key", [i / k for i in range(1, k)], 1 / (4 * k))} if k > 1 else []), np.int64)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
+        for batch in batches:
+            own = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            r, at = np.unique(np.searchsorted(bounds, own, "right"), return_index=True)
+            for x, y in zip(r.tolist(), own[at].tolist(), strict=True):
+                least[x] = min(y, least.get(x, y))
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.int64())], ["r", "first"])
+
+    found = sorted((x["r"], x["first"]) for x in keys.mapInArrow(firsts, "r int, first long").groupBy("r").agg(F.min("first").alias("first")).collect())
+    return bounds, np.array([r for r, _ in found], np.int64), np.array([f for _, f in found], np.int64)
+
+
+_PLACED = "r int, border int, key long, kind int, h long, doc_id long, z binary, class_id long"
+_PLACED_NAMES = [x.split(" ")[0] for x in _PLACED.split(", ")]
+
+
+def _place_texts(bounds: np.ndarray, ranges: np.ndarray, first: np.ndarray):
+    """Rows of texts at their ranges; of those with a range's first key a task's least also goes to the range before, as its border."""
+    before = {int(k): (i - 1) % len(first) for i, k in enumerate(first)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        border: dict[int, tuple[int, bytes]] = {}
+        for batch in batches:
+            key = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            h = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in texts]
+            z = [zlib.compress(x, 1) for x in texts]
+            for i, k in enumerate(key.tolist()):
+                if k in before and (k not in border or h[i] < border[k][0]):
+                    border[k] = h[i], z[i]
+            n = len(key)
+            r = np.searchsorted(ranges, np.searchsorted(bounds, key, "right")).astype(np.int32)
+            zero, one = pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(r), zero, pa.array(key), one, pa.array(h, pa.int64()), batch.column(0), pa.array(z, pa.binary()), pa.nulls(n, pa.int64())], _PLACED_NAMES)
+        rows = [{"r": before[k], "border": 1, "key": k, "kind": 1, "h": h, "z": z} for k, (h, z) in border.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(_PLACED_NAMES, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True))))
+
+    return run
+
+
+def _place_classes(bounds: np.ndarray, ranges: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(zero_copy_only=False), batch.num_rows
+            r = np.searchsorted(ranges, np.searchsorted(bounds, key, "right")).astype(np.int32)
+            zero = pa.array(np.zeros(n, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(r), zero, pa.array(key), zero, pa.nulls(n, pa.int64()), batch.column(0), pa.nulls(n, pa.binary()), batch.column(1)], _PLACED_NAMES)
+
+    return run
+
+
+def with_next_text(docs: DataFrame, classes: DataFrame, result: str, use) -> DataFrame:
+    """use(doc_id, class_id, text, next_text) -> a result row, for each row of docs by ascending doc_id; the last row's next is the first.
+
+    classes: (doc_id, class_id) of docs' ids. Rows of one id are ordered by a hash of their texts, rows without an id come last.
+    One shuffle of the compressed texts by ranges of ids, each a task of its own: a range's first row also goes to the
+    range before, so that every range holds its rows' successors, and tasks stream over their sorted rows.
     """
-    known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds, first = _ranges(known.select("doc_id"))
-    if not first:
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"))
+    bounds, ranges, first = _ranges(keys)
+    if not len(first):
         return docs.sparkSession.createDataFrame([], result)
-    placed = known.withColumn("r", _range(bounds))
-    firsts = known.where(F.col("doc_id").isin(first)).groupBy("doc_id").agg(F.min("text").alias("text"))
-    borders = firsts.withColumn("r", F.when(F.col("doc_id") == first[0], F.lit(1 << 30)).otherwise(_range(bounds)))
-    order = placed.select(F.col("r").alias("r"), F.lit(0).alias("border"), "doc_id", "text")
-    ids = sorted(first)
-    before = F.element_at(F.create_map(*[x for i, d in enumerate(ids) for x in (F.lit(d), F.lit(i))]), F.col("doc_id"))
-    number = F.element_at(F.create_map(*[x for i, d in enumerate(_numbers(bounds, ids)) for x in (F.lit(d), F.lit(i))]), F.col("r"))
-    rows = order.withColumn("r", number).unionByName(borders.select(F.pmod(before - 1, F.lit(len(ids))).alias("r"), F.lit(1).alias("border"), "doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_place_texts(bounds, ranges, first), _PLACED)
+    rows = texts.unionByName(classes.select("doc_id", "class_id").mapInArrow(_place_classes(bounds, ranges), _PLACED))
+    schema = pa.schema(_ARROW[result])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, named = None, (None, None)
         for batch in batches:
             out = []
-            for r, border, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, border, key, kind, _, doc, z, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not kind:
+                    named = key, class_id
+                    continue
+                text = zlib.decompress(z).decode("utf-8", "surrogatepass")
                 if held and held[0] == r:
-                    out.append(use(held[1], held[2], text))
-                held = None if border else (r, doc, text)
-            schema = pa.schema([(n, t) for n, t in _ARROW[result]])
+                    out.append(use(*held[1:], text))
+                held = None if border else (r, doc, named[1] if doc is not None and named[0] == key else None, text)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    n = max(partitions(docs.sparkSession), min(len(ids), 4096))
-    return rows.repartition(n, "r").sortWithinPartitions("r", "border", "doc_id", "text").mapInArrow(run, result)
+    return rows.repartitionById(len(first), F.col("r")).sortWithinPartitions("r", "border", "key", "kind", "h").mapInArrow(run, result)
 
 
-def _numbers(bounds: list[int], first: list[int]) -> list[int]:
-    """The range of each first id."""
-    return [sum(b <= d for b in bounds) for d in first]
-
-
-_OP6 = "doc_id long, n_chars long, edited_sha256 string, fingerprint array<long>, edited_fingerprint array<long>, near_edited double, near_next double"
+_OP6 = "doc_id long, n_chars long, edited_sha256 string, fingerprint array<long>, edited_fingerprint array<long>, near_edited double, near_next double, class_id long"
 _ARROW = {
     _OP6: [
         ("doc_id", pa.int64()),
@@ -183,11 +208,12 @@ _ARROW = {
         ("edited_fingerprint", pa.list_(pa.int64())),
         ("near_edited", pa.float64()),
         ("near_next", pa.float64()),
+        ("class_id", pa.int64()),
     ]
 }
 
 
-def compare_edited(memo: dict[str, np.ndarray], doc: int, text: str, following: str) -> dict:
+def compare_edited(memo: dict[str, np.ndarray], doc: int | None, class_id: int | None, text: str, following: str) -> dict:
     """A row of op6: the text against its edited text and the next document's."""
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
@@ -199,14 +225,20 @@ def compare_edited(memo: dict[str, np.ndarray], doc: int, text: str, following:
     return {
         "doc_id": doc,
         "n_chars": len(text),
-        "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
+        "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
         "fingerprint": own,
         "edited_fingerprint": new,
         "near_edited": likeness(own, new),
         "near_next": likeness(own, other),
+        "class_id": class_id,
     }
 
 
 def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and class_id: the smallest id of its near-duplicates by fingerprint, its own included (null without an id).
+
+    Null and empty texts have empty fingerprints; repeated rows each give a row; a single row is its own next. Extra columns aren't read.
+    """
     memo: dict[str, np.ndarray] = {}
-    return with_next_text(table(spark, sf_dir, "documents"), _OP6, lambda *row: compare_edited(memo, *row))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_next_text(docs, duplicates(docs), _OP6, lambda *row: compare_edited(memo, *row))
