@@ -29,6 +29,8 @@ SAMPLE_PER_LANGUAGE = 2000
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 _CHUNK_CHARS = 200_000
+#: Distinct trigrams whose vectors, and counts that, are in memory at once.
+_TRIGRAMS, _COUNTS = 20_000, 2_000_000
 _DENSE = 3_000_000
 _UNIT = 1_000_000
 
@@ -72,8 +74,12 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[first] = True
-    doc = np.repeat(np.arange(n), length)[keep]
-    s = letters.numbers(np.where(letter, codes, 0)[keep]).astype(np.int64)
+    return _sums(letters.numbers(np.where(letter, codes, 0)[keep]), np.repeat(np.arange(n), length)[keep], n)
+
+
+def _sums(s: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the vectors of each doc's trigrams, of n docs; s: letters' numbers, one doc after the other."""
+    letters, s = _letters(), s.astype(np.int64)
     out = np.zeros((n, DIM), np.float32)
     if len(s) < 3:
         return out
@@ -88,26 +94,53 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     else:
         present, place = np.unique(code, return_inverse=True)
     v = letters.vectors
-    bound = (np.roll(v, 2, 1)[present // size**2] * np.roll(v, 1, 1)[present // size % size] * v[present % size]).astype(np.float32)
-    step = max(1, 2_000_000 // max(1, len(present)))
-    ends = np.searchsorted(doc, np.arange(0, n + step, step))
-    for k, at in enumerate(range(0, n, step)):
-        rows = min(step, n - at)
-        a, b = ends[k], ends[k + 1]
-        counts = np.bincount((doc[a:b] - at) * len(present) + place[a:b], minlength=rows * len(present)).reshape(rows, -1)
-        out[at : at + rows] = counts.astype(np.float32) @ bound
+    for first in range(0, len(present), _TRIGRAMS):
+        part = present[first : first + _TRIGRAMS]
+        bound = (np.roll(v, 2, 1)[part // size**2] * np.roll(v, 1, 1)[part // size % size] * v[part % size]).astype(np.float32)
+        own, at = doc, place
+        if len(part) < len(present):
+            here = (place >= first) & (place < first + len(part))
+            own, at = doc[here], place[here] - first
+        step = max(1, _COUNTS // len(part))
+        ends = np.searchsorted(own, np.arange(0, n + step, step))
+        for k, row in enumerate(range(0, n, step)):
+            x, y = ends[k], ends[k + 1]
+            if x < y:
+                rows = min(step, n - row)
+                counts = np.bincount((own[x:y] - row) * len(part) + at[x:y], minlength=rows * len(part)).reshape(rows, -1)
+                out[row : row + rows] += counts.astype(np.float32) @ bound
+    return out
+
+
+def _long_bundle(text: str) -> np.ndarray:
+    """bundles() of one long text, _CHUNK_CHARS characters at a time; each part begins with the last two letters of the one before."""
+    letters, low = _letters(), f"{text.lower()}\0"
+    tail, after, out = np.zeros(1, np.int32), False, np.zeros(DIM, np.float64)
+    for at in range(0, len(low), _CHUNK_CHARS):
+        codes = np.frombuffer(low[at : at + _CHUNK_CHARS].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = letters.is_letter[codes]
+        s = np.r_[tail, letters.numbers(np.where(letter, codes, 0)[letter | np.r_[after, letter[:-1]]])]
+        out += _sums(s, np.zeros(len(s), np.int64), 1)[0]
+        tail, after = s[-2:], bool(letter[-1])
     return out
 
 
-def _chunks(texts: list[str | None]) -> Iterator[slice]:
-    at, chars = 0, 0
+def whole_bundles(texts: list[str | None]) -> np.ndarray:
+    """bundles() of texts of any length, some _CHUNK_CHARS characters at a time."""
+    out = np.zeros((len(texts), DIM), np.float32)
+    wait, chars = [], 0
     for i, t in enumerate(texts):
+        if len(t or "") > _CHUNK_CHARS:
+            out[i] = _long_bundle(t)
+            continue
+        wait.append(i)
         chars += len(t or "")
         if chars >= _CHUNK_CHARS:
-            yield slice(at, i + 1)
-            at, chars = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+            out[wait] = bundles([texts[k] for k in wait])
+            wait, chars = [], 0
+    if wait:
+        out[wait] = bundles([texts[k] for k in wait])
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -120,10 +153,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for part in _chunks(texts):
-            units = np.rint(_unit(bundles(texts[part])).astype(np.float64) * _UNIT).astype(np.int64)
-            for lang, row in zip(langs[part], units, strict=True):
-                total[lang] = total.get(lang, 0) + row
+        units = np.rint(_unit(whole_bundles(texts)).astype(np.float64) * _UNIT).astype(np.int64)
+        for lang, row in zip(langs, units, strict=True):
+            total[lang] = total.get(lang, 0) + row
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
 
@@ -158,14 +190,11 @@ def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: tu
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            found, scores = [], []
-            for part in _chunks(texts):
-                units = _unit(bundles(texts[part]))
-                cosine = units @ prototypes.T if langs else np.zeros((len(units), 1), np.float32)
-                best = cosine.argmax(1)
-                known = units.any(1)
-                found += [(langs[b] if langs else None) if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                scores += np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float).round(6).tolist()
+            units = _unit(whole_bundles(texts))
+            cosine = units @ prototypes.T if langs else np.zeros((len(units), 1), np.float32)
+            best, known = cosine.argmax(1) if len(units) else [], units.any(1)
+            found = [(langs[b] if langs else None) if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+            scores = np.where(known, np.clip(cosine[np.arange(len(units)), best], 0, 1), 0).astype(float).round(6).tolist() if len(units) else []
             kept = [batch.column(names.index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 

@@ -30,8 +30,8 @@ BLOCK_TOKENS = 6_000_000
 #: One in CALIBRATE trusted texts is kept out of the counts; the thresholds are quantiles of their perplexity, as
 #: texts that were counted have less than others like them.
 CALIBRATE = 5
-#: Share of these texts that a threshold keeps, and how far beyond their perplexity still passes.
-QUANTILE, SLACK = 0.99, 1.5
+#: Share of these texts that a threshold keeps.
+QUANTILE = 0.99
 BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Start, end; words have the numbers from FIRST_WORD.

@@ -5,8 +5,8 @@ letters; the document's is the noisy-or of its sentences, 1 - product(1 - p). We
 document labels alone, by the likelihood of that noisy-or, and sentences with p of 0.5 or more are the
 offending ones.
 
-The model is fitted on about MAX_TRAIN labelled documents (a documented bound, chosen by a hash of the
-id), with at most the VOCABULARY most frequent features; scoring is one pass over all texts without a
+The model is fitted on about MAX_TRAIN labelled documents of MAX_CHARS characters in all (documented bounds, chosen by a
+hash of the id), with at most the VOCABULARY most frequent features; scoring is one pass over all texts without a
 shuffle, and its state is the weights.
 """
 
@@ -18,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, held_out, table, written
 
-MAX_TRAIN = 8_000
+MAX_TRAIN, MAX_CHARS = 8_000, 60_000_000
+_PARTS = 1 << 40
 VOCABULARY = 60_000
 MIN_DOCUMENTS = 4
 PREFIX = 4
@@ -81,7 +83,7 @@ def _encoder(number: dict[str, int]):
                     lengths.append(len(here))
                 ids.append(np.array(own, np.int32))
                 sizes.append(np.array(lengths, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), batch.column(2)], ["toxic", "ids", "sizes", "doc_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), batch.column(2), pa.array([xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass")) - (1 << 63) for x in batch.column(1).to_pylist()], pa.int64())], ["toxic", "ids", "sizes", "doc_id", "h"])
 
     return run
 
@@ -125,21 +127,27 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: in
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> tuple[dict[str, float], float]:
     """(weights, bias) of about max_train documents of docs with a label in `labels` (doc_id, toxic).
 
-    Null labels don't count, of several the highest does. The texts stay on the executors: the driver gets the
-    VOCABULARY most frequent features and the sample's feature numbers.
+    Null labels don't count, of several the highest does; null and empty texts are bags without a sentence. Every row of a
+    repeated id is a document of its own; rows are put in order by id and text, so that reruns agree. Without labels nothing is toxic. The texts stay on the executors:
+    the driver gets the VOCABULARY most frequent features and the sample's feature numbers, at most one for each word or
+    prefix of MAX_CHARS characters. Other columns aren't read.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     share = min(1.0, max_train / total) if total else 0.0
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(_PARTS))
+    chosen = known.where(place < int(share * _PARTS))
     sample = written(docs.select("doc_id", "text").join(broadcast_if_small(chosen, 2 * max_train), "doc_id").select("toxic", "text", "doc_id"))
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        sample = sample.where(place < int(share * max_chars / chars * _PARTS))
     counts = sample.select("text").mapInArrow(_count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     common = [r["feature"] for r in counts.where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "feature").limit(VOCABULARY).collect()]
     encode = _encoder({f: i for i, f in enumerate(common)})
-    rows = sample.mapInArrow(encode, "toxic int, ids array<int>, sizes array<int>, doc_id long").orderBy("doc_id").toArrow()
+    rows = sample.mapInArrow(encode, "toxic int, ids array<int>, sizes array<int>, doc_id long, h long").orderBy("doc_id", "h").toArrow()
     lists = [[rows.column(k)[i].values.to_numpy(zero_copy_only=False) for i in range(len(rows))] for k in (1, 2)]
     weights, bias = train(list(zip(*lists, strict=True)), rows.column(0).to_pylist(), len(common))
     return {common[i]: float(weights[i]) for i in np.flatnonzero(weights)}, bias

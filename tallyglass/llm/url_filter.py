@@ -22,7 +22,7 @@ BASE_RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: The method's own rules, which decide where no base rule fits; an empty path fits all.
+#: The method's own rules where no list is given (read_rules), which decide where no base rule fits; an empty path fits all.
 EXTRA_RULES = (
     ("ads-track.example.org", "", "block"),
     ("ads-track.example.com", "", "block"),
@@ -57,6 +57,16 @@ def default_rules(spark) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
+def read_rules(spark, path: str) -> DataFrame:
+    """The base rules and those of a list: Parquet, or CSV without a header, of (host, path, verdict). Rows without a host or with another verdict don't count; hosts are lower-cased, leading dots and stars go, a null path fits all."""
+    csv = path.endswith((".csv", ".txt"))
+    rows = spark.read.csv(path, schema="host string, path string, verdict string") if csv else spark.read.parquet(path).select("host", "path", "verdict")
+    host = ascii_lower(F.regexp_replace(F.trim("host"), r"^[*.]+", ""))
+    listed = rows.select(F.lit(1).alias("tier"), host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.lower("verdict").alias("verdict"))
+    base = spark.createDataFrame([(0, *r) for r in BASE_RULES], RULES)
+    return base.unionByName(listed.where("host <> '' and verdict in ('allow', 'block')").distinct())
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """pages with host, path, rule and verdict as further columns (they replace columns of these names).
 
@@ -79,7 +89,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
         lambda n: F.col("path").substr(F.lit(1), n),
     )
     expressions = (
-        parted.select("host", "path")
+        parted.where("host <> ''")
+        .select("host", "path")
         .distinct()
         .select("host", "path", F.explode(suffixes).alias("_s"), prefixes.alias("_p"))
         .select("host", "path", "_s", F.explode("_p").alias("_x"))
@@ -95,8 +106,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
         BROADCAST_RULES,
     )
     best = expressions.join(index, "_key").where("_digest = digest").groupBy("host", "path").agg(F.max("_rule").alias("_best"))
+    # what has no host fits no rule: all such rows have one key, which the join needn't gather
+    judged = parted.where("host <> ''").join(best, ["host", "path"], "left")
+    nowhere = parted.where("host = ''").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType))
     return (
-        parted.join(best, ["host", "path"], "left")
+        judged.unionByName(nowhere)
         .withColumn("rule", F.when(F.col("_best.tier") == 0, F.col("_best.rule")))
         .withColumn("verdict", F.coalesce("_best.verdict", F.lit(default)))
         .drop("_best")

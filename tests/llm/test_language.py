@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -28,6 +29,42 @@ def test_bundles_by_hand():
     assert np.array_equal(language.bundles(texts[5:6])[0], got[5])
 
 
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(language, "_CHUNK_CHARS", 7)
+    monkeypatch.setattr(language, "_TRIGRAMS", 5)
+    texts = ["some words,  and -- more of them!", "ab", None, "日本語のテキスト" * 4, " leading gap, trailing gap  ", "éé éé 12 " * 9, "x" * 50]
+    for t, row in zip(texts, language.whole_bundles(texts), strict=True):
+        assert np.array_equal(row, slow_bundle(t)), t
+
+
+def test_memory_of_a_long_text():
+    """A million characters of 6,000 letters: most trigrams occur once."""
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 6000, 1_000_000)))
+    tracemalloc.start()
+    language.whole_bundles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000
+
+
+def test_predictions_by_hand(spark, frame):
+    """Prototypes are sums of unit bundles of the documents learned from, predictions the nearest of them; nulls, ties, repeats and clashing names."""
+    texts = {"de": ["der Hund und die Katze", "nicht auf der Wiese"], "en": ["the dog and the cat", "with that of those"], None: ["ohne", "the"]}
+    docs = [(i * 2 + k, t, x, None) for i, (x, ts) in enumerate(list(texts.items()) * 6) for k, t in enumerate(ts)]
+    for d in (*range(3), 7):
+        docs += [(900 + d, ["katze und hund", "", "123", None, "The those"][d % 5], "de", None)] * 2
+    learn = [(t, x) for d, t, x, _ in docs if x and zlib.crc32(str(d).encode()) % 3 != 1]
+    unit = lambda v: v / np.linalg.norm(v)
+    proto = {x: unit(sum(unit(slow_bundle(t)) for t, y in learn if y == x and slow_bundle(t).any())) for x in ("de", "en")}
+    clash = frame(docs).withColumnRenamed("source", "score").withColumnRenamed("n_chars", "lang_pred")
+    for r in language.identify(clash).collect():
+        text = next(t for d, t, _, _ in docs if d == r.doc_id)
+        b = slow_bundle(text)
+        want = max(("de", "en"), key=lambda x: unit(b) @ proto[x]) if b.any() else "und"
+        assert r.lang_pred == want and abs(r.score - (max(0, unit(b) @ proto[want]) if b.any() else 0)) < 1e-4
+
+
 def test_held_out_accuracy(spark, sf):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = language.op4_language(spark, sf).collect()
