@@ -36,7 +36,6 @@ BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Start, end; words have the numbers from FIRST_WORD.
 START, END, FIRST_WORD = 0, 1, 2
-LANGUAGES = 1 << 15
 #: Spark's seed of xxhash64.
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -80,25 +79,20 @@ def _hashed(seed: np.ndarray | int, x: np.ndarray) -> np.ndarray:
 
 
 def keys(lang: int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the language, and of the padded text's words (all but the first), pairs and triples; the last of each three are of token k and the end.
-
-    A triple's key has the language in its upper 16 bits, 32 bits of a hash and the lower 16 bits of the last word: an unseen triple meets
-    the key of one of a thousand million others of its language with a probability of 4e-6. The other keys are hashes of 64 bits.
-    """
+    """Keys (hashes of 64 bits) of the language, and of the padded text's words (all but the first), pairs and triples; the last of each three are of token k and the end."""
     s = _padded(tokens)
     own = _hashed(np.full(1, SEED, np.int64), np.full(1, lang, np.int64))
     k1 = _hashed(np.full(len(s), own[0]), s)
     k2 = _hashed(k1[:-1], s[1:])
-    k3 = (np.int64(lang) << 48) | ((_hashed(k2[:-1], s[2:]) & 0xFFFFFFFF) << 16) | (s[2:] & 0xFFFF)
-    return own, k1[1:], k2, k3
+    return own, k1[1:], k2, _hashed(k2[:-1], s[2:])
 
 
-def trigrams(lang: int, tokens: np.ndarray) -> np.ndarray:
-    """Keys of each token's and the end's triple."""
-    return keys(lang, tokens)[3]
+def language_key(lang: str | None) -> int:
+    """The language's number; 0 for null."""
+    return 0 if lang is None else (xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")) >> 1) | 1
 
 
-def encode(docs: DataFrame, vocabulary: dict[str, int], langs: dict[str, int]) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(block, doc_id, lang, lang_id, tokens): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +106,10 @@ def encode(docs: DataFrame, vocabulary: dict[str, int], langs: dict[str, int]) -
                 filled += len(tokens)
                 if filled >= BLOCK_TOKENS:
                     block, filled = block + 1, 0
-            ids = [langs.get(x, 0) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["block", "doc_id", "lang", "lang_id", "tokens"])
+            ids = [language_key(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["block", "doc_id", "lang", "lang_id", "tokens"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "block long, doc_id long, lang string, lang_id int, tokens binary")
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, "block long, doc_id long, lang string, lang_id long, tokens binary")
 
 
 def count_trigrams(encoded: DataFrame) -> DataFrame:
@@ -166,9 +160,7 @@ def model(counts: DataFrame) -> DataFrame:
     for t, n, names, d in ((t3, "c", ["lang", "u", "v"], d3), (t2, "n", ["lang", "v"], d2), (t1, "n", ["lang"], d1)):
         short = short.unionByName(contexts(t, n, names, d))
     short = short.groupBy("key").agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("top"), F.max("total").alias("total"), F.max("rest").alias("rest"))
-    low = F.xxhash64("lang", "u", "v", "w").bitwiseAND(F.lit(0xFFFFFFFF))
-    triple = F.shiftleft("lang", 48).bitwiseOR(F.shiftleft(low, 16)).bitwiseOR(F.col("w").bitwiseAND(F.lit(0xFFFF)))
-    return tops(t3, "c", triple, d3).unionByName(short)
+    return tops(t3, "c", F.xxhash64("lang", "u", "v", "w"), d3).unionByName(short)
 
 
 def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame:
@@ -229,23 +221,23 @@ def perplexities(encoded: DataFrame, counts: DataFrame, words: int) -> DataFrame
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) for each row of docs.
 
-    Trusted are the documents whose labels all have quality 1. threshold: SLACK times the QUANTILE of the perplexities
+    Trusted are the documents whose labels all have quality 1. threshold: the QUANTILE of the perplexities
     of the language's uncounted trusted texts, of all its texts where it has none; a null lang is a language of its own. keep:
     perplexity up to the threshold; a text without tokens has null perplexity and isn't kept. Repeated rows and null
     ids each give a row; other columns aren't read. An empty table gives an empty one.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("none")).where("q = 1 and none = 0").select("doc_id")
     trusted = checkpoint(trusted)
-    names = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1).collect()]
-    encoded = written(encode(docs, {}, {x: i + 1 for i, x in enumerate(names)}))
+    encoded = written(encode(docs, {}))
     known = broadcast_if_small(trusted, BROADCAST_ROWS)
     counted = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) > 0
     counts = checkpoint(count_trigrams(encoded.where(counted).join(known, "doc_id", "left_semi")))
     words = counts.select("w").distinct().count() + 1
     scored = checkpoint(perplexities(encoded, counts, words))
     marked = scored.join(known.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("own", F.when(F.col("trusted") & ~counted, F.col("perplexity")))
-    limits = marked.groupBy("lang").agg((F.coalesce(F.percentile_approx("own", QUANTILE, 10_000), F.percentile_approx("perplexity", QUANTILE, 10_000)) * SLACK).alias("threshold"))
-    joined = scored.alias("s").join(F.broadcast(limits.limit(LANGUAGES)).alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
+    limits = marked.groupBy("lang").agg(F.coalesce(F.percentile_approx("own", QUANTILE, 10_000), F.percentile_approx("perplexity", QUANTILE, 10_000)).alias("threshold"))
+    limits = broadcast_if_small(checkpoint(limits), BROADCAST_ROWS)
+    joined = scored.alias("s").join(limits.alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
     return joined.select("doc_id", F.col("s.lang").alias("lang"), "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
 
 
