@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions.relational import column_pairs, wide_pairs
+from ..functions.storage import written
 from ..operators import columns, pairs, rows
 
 SCHEMA = "source string, detector string, severity string, subject array<string>, metrics map<string,double>, p double, description string"
@@ -61,8 +62,9 @@ def detect_tables(wide: DataFrame, names: list[str], cells: DataFrame | None = N
     """All tabular detectors over (source, idx, columns): one DataFrame of findings for all sources at once.
 
     The wide path builds cells and pairs from the rows without a join; give `cells` for columns with gaps, which then
-    pair by self-join.
+    pair by self-join. The rows are written once, as every detector reads them.
     """
+    wide = written(wide)
     long = cells
     if long is None:
         parts = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)])
