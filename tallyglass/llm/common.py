@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpoint, new_path, shared_dir, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters, digits and everything beyond ASCII (after lower-casing).
@@ -21,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tallyglass-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage; the copy is in the shared folder, so a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyglass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hints a broadcast only where a count proves at most max_rows rows; otherwise the join shuffles. df: cheap to count (a checkpoint)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,13 +7,11 @@ are joined back to all paths (rows) that hold the blob.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, table
+from .common import checkpoint, new_path, table
 
 RULE_VERSION = "2"
 #: Findings are broadcast while they have so many spans at most (12 bytes a span, 32 a blob); beyond that the join shuffles.
@@ -139,7 +137,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     """The findings of all documents; the ledger is a new one in the shared folder, so that a result never hangs on earlier runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    found = scan(docs, new_path(spark, "secret-ledger"))
     kinds = F.array(*[F.lit(r[0]) for r in RULES])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
