@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import decontaminate, language, mixing, secrets, simhash
-from tallyglass.llm.common import broadcast_if_small, checkpoint, shared_dir, table
+from tallyglass.llm.common import broadcast_if_small, checkpoint, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids to drop are broadcast up to this number only; beyond it the join shuffles.
@@ -73,8 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; the stages' tables are in the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """STAGES applied to documents; the stages' tables are in the shared folder (remove_written() of functions/storage.py removes them)."""
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
