@@ -1,4 +1,4 @@
-"""Exact search for texts whose sets resemble each other, as links that connect what resembles.
+"""Exact search for texts whose sets resemble each other, as components of what resembles.
 
 A text is a set of hashes. Two sets that share at least `threshold` of their union have lengths within that factor,
 and meet in the first 1 - threshold of both in any one order of all hashes: here rare ones come first. A hash's
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -270,10 +269,10 @@ def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -
     return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may)), whole, is_near)
 
 
-def resembling_links(texts: DataFrame, known: DataFrame, sets: Sets, threshold: float) -> DataFrame:
-    """(a, b): links that, with the components known, connect exactly what chains of pairs at `threshold` or more connect.
+def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """(doc, component): known, with the components that pairs at `threshold` or more connect merged into their smallest.
 
-    texts: (doc, text) without nulls, cheap to read again (text is read three times). known: (doc, component), one row a doc; docs of
+    texts: (doc, text) without nulls, cheap to read again (text is read several times). known: (doc, component), one row a doc; docs of
     equal texts have one component. sets gives a text's sorted distinct hashes; an empty set resembles nothing. All texts of a
     repeated doc count. An empty table gives an empty one.
     """
@@ -281,16 +280,15 @@ def resembling_links(texts: DataFrame, known: DataFrame, sets: Sets, threshold:
     sort = lambda rows, order: rows.repartition(n, "sig").sortWithinPartitions(*order)
     found = sort(prefix_rows(texts, sets, threshold), ORDER).mapInArrow(_shared, ROWS)
     shared = checkpoint(found.join(known, "doc").select("sig", "doc", F.col("component").alias("h"), "n", "place"))
-    links, tried = [], None
+    tried = None
     for order, pairs in ((ORDER, _neighbours), (("sig", "place", "n", "doc"), _firsts), (ORDER, _apart)):
         left = sort(shared, order).mapInArrow(pairs(threshold), "a long, b long").distinct()
         left = checkpoint(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
-        links.append(checkpoint(verified(texts, left, sets, threshold)))
+        links = verified(texts, left, sets, threshold)
+        between = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = broadcast_if_small(checkpoint(connected_components(between)).toDF("component", "whole"), BROADCAST_IDS)
+        known = checkpoint(known.join(merged, "component", "left").select("doc", F.coalesce("whole", "component").alias("component")))
         if pairs is not _apart:
             tried = left if tried is None else tried.unionByName(left)
-            between = links[-1].join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = checkpoint(connected_components(between)).toDF("component", "whole")
-            known = checkpoint(known.join(broadcast_if_small(merged, BROADCAST_IDS), "component", "left").select("doc", F.coalesce("whole", "component").alias("component")))
-            merged = broadcast_if_small(merged, BROADCAST_IDS).withColumnRenamed("component", "h")
-            shared = checkpoint(shared.join(merged, "h", "left").select("sig", "doc", F.coalesce("whole", "h").alias("h"), "n", "place"))
-    return reduce(DataFrame.unionByName, links)
+            shared = checkpoint(shared.join(merged.withColumnRenamed("component", "h"), "h", "left").select("sig", "doc", F.coalesce("whole", "h").alias("h"), "n", "place"))
+    return known

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, partitions, table
 from .components import connected_components
-from .resemblance import resembling_links
+from .resemblance import resembling_components
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -198,10 +198,10 @@ def near_duplicates(docs: DataFrame, resemblance: float | None = None) -> DataFr
     found = checkpoint(found)
     known = checkpoint(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component")))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
-    links = resembling_links(texts, known.withColumnRenamed("doc_id", "doc"), shingles, resemblance)
-    between = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = broadcast_if_small(checkpoint(connected_components(between)), BROADCAST_IDS).withColumnRenamed("node", "component_id")
-    return found.join(merged, "component_id", "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
+    whole = resembling_components(texts, known.toDF("doc", "component"), shingles, resemblance)
+    merged = known.join(whole.toDF("doc_id", "whole"), "doc_id").where("component <> whole").select("component", "whole").distinct()
+    merged = broadcast_if_small(checkpoint(merged), BROADCAST_IDS).toDF("component_id", "whole")
+    return found.join(merged, "component_id", "left").select("doc_id", "fp", F.coalesce("whole", "component_id").alias("component_id"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, partitions, table
+from .common import checkpoint, partitions, table
 from .components import connected_components
-from .resemblance import BROADCAST_IDS, resembling_links
+from .resemblance import resembling_components
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -45,28 +45,44 @@ ROWS_A_RANGE, RANGES = 4_000, 1 << 14
 LAST = (1 << 63) - 1
 
 
-def signatures(text: str | None, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
+class _Hashes(dict):
+    """Hashes of the words met lately; that of an anchor is odd."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word in ANCHORS)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _chained(*words: np.ndarray) -> np.ndarray:
+    """A hash of each row's words, in order."""
+    out = np.full(len(words[0]), 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        for x in words:
+            out = (out ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(29)
+        return (out * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def signatures(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's chains."""
     words = WORD.findall((text or "").lower())
-    content = [w for w in words if w not in anchors]
-    chains: set[str] = set()
-    found = 0
-    if CHAIN <= len(content) < len(words):
-        n, at = len(content) - CHAIN, 0
-        follow = list(map(" ".join, zip(*(content[k:] for k in range(CHAIN)), strict=False)))
-        for w in words:
-            if w in anchors:
-                if at > n:
-                    break
-                chains.add(f"{w}:{follow[at]}")
-                found += 1
-            else:
-                at += 1
-    if words and (not chains or (len(words) > SPARSE and found * SPARSE < len(words))):
-        chains = {" ".join(words[i : i + CHAIN]) for i in range(max(1, len(words) - CHAIN + 1))}
-    out = np.fromiter((xxhash.xxh64_intdigest(c) for c in chains), np.uint64, len(chains)).view(np.int64)
-    out.sort()
-    return out
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    anchor = (h & np.uint64(1)).astype(bool)
+    content = h[~anchor]
+    # content words before each anchor: the place of the first that follows it
+    at = np.cumsum(~anchor)[anchor]
+    has = at + CHAIN <= len(content)
+    at = at[has]
+    found = _chained(h[anchor][has], *(content[at + k] for k in range(CHAIN)))
+    if not len(found) or (len(words) > SPARSE and len(found) * SPARSE < len(words)):
+        n = min(CHAIN, len(words))
+        found = _chained(*(h[k : len(h) - n + 1 + k] for k in range(n))) if n else np.zeros(0, np.int64)
+    return np.unique(found)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,10 +117,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # an id's several texts are one class, and so what equals them
     several = connected_components(by_text, "doc", "first")
     start = checkpoint(by_text.select("doc").distinct().join(several.toDF("doc", "component"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")))
-    links = resembling_links(known, start, signatures, threshold)
-    between = links.join(start.toDF("a", "ca"), "a").join(start.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = checkpoint(connected_components(between)).toDF("component", "whole")
-    return start.join(broadcast_if_small(merged, BROADCAST_IDS), "component", "left").select(F.col("doc").alias("doc_id"), F.coalesce("whole", "component").alias("class_id"))
+    return resembling_components(known, start, signatures, threshold).toDF("doc_id", "class_id")
 
 
 def _ranges(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

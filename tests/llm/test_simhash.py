@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from tallyglass.llm import resemblance, simhash
+from tallyglass.llm import components, resemblance, simhash
 
 
 def slow_fingerprint(text):
@@ -51,11 +51,29 @@ def test_dense_groups_and_chains(spark):
         classes.setdefault(f, d)
     rows = [(f - (1 << 64) if f >> 63 else f, d) for f, d in classes.items()]
     links = simhash.near_duplicate_links(spark.createDataFrame(rows, "fp long, doc long"))
-    got = {r.node: r.component for r in simhash.connected_components(links).collect()}
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
     best = slow_components({d: f for f, d in classes.items()})
     assert {d: got.get(d, d) for d in best} == best
 
 
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
+    best, changed = {x: x for a, b in links if None not in (a, b) and a != b for x in (a, b)}, True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a in best and b in best and best[a] != best[b]:
+                best[a] = best[b] = min(best[a], best[b])
+                changed = True
+    frame = spark.createDataFrame(links, "a long, b long")
+    for most in (components.ONE_TASK, 0):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        rows = components.connected_components(frame).collect()
+        assert len(rows) == len(best) and {r.node: r.component for r in rows} == best
+        assert components.connected_components(frame.where("false")).count() == 0
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 32, 500, dtype=np.uint32)
@@ -72,6 +90,10 @@ def test_odd_rows(odd, spark):
     assert {r[2] for r in got if r[0] in (4, 6)} == {4}
     assert sum(r[0] == 3 for r in got) == 2
     assert simhash.near_duplicates(odd.where("false")).count() == 0
+    clash = odd.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id").withColumnRenamed("n_chars", "component")
+    for resemblance in (None, 0.8):
+        assert simhash.near_duplicates(clash, resemblance).count() == 8
+        assert simhash.near_duplicates(odd.where("false"), resemblance).count() == 0
 
 
 def test_resembling_copies_are_found(frame):

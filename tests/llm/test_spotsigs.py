@@ -102,6 +102,14 @@ def test_duplicates_brute_force(spark, frame):
     assert s.duplicates(frame([])).count() == 0
 
 
+def test_odd_rows(odd, spark, tmp_path):
+    odd.withColumnRenamed("lang", "fingerprint").withColumnRenamed("source", "class_id").withColumnRenamed("n_chars", "key").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = s.op6_spotsigs(spark, str(tmp_path)).collect()
+    assert len(rows) == 8
+    assert {r.class_id for r in rows if r.doc_id in (1, 2)} == {1} and {r.class_id for r in rows if r.doc_id in (4, 6)} == {4}
+    assert [r.class_id for r in rows if r.doc_id is None] == [None]
+
+
 def test_few_anchors():
     words = [f"w{i}" for i in range(200)]
     text, edited = " ".join(["the", *words]), " ".join(["the", *words[:100], *(f"x{i}" for i in range(100))])
