@@ -197,3 +197,83 @@ MARKED_EFFECT = r"明显[高低升降增减].*?P\s*[<＜]\s*0\.\d+"
 CONTRADICTION_LOW = r"差异无统计学意义.*?P\s*[<＜]\s*0\.\d+"
 CONTRADICTION_HIGH = r"差异[有具]统计学意义.*?P\s*[>＞]\s*0\.\d+"
 SWEEPING = r"各时间点[均都]?.*?P\s*[<＜]\s*0\.\d+"
+
+#: Numbers, p values and printed mean ± deviation pairs in a text.
+DECIMAL = r"\b(\d+\.(\d+))\b"
+NUMBER = r"\b(\d+\.?\d*)\b"
+MEAN_SD = r"(\d+\.?\d*)\s*[±]\s*(\d+\.?\d*)"
+GROUP_SIZE = r"[nN]\s*[=＝]\s*(\d+)"
+P_EXACT_ZERO = r"P\s*=\s*0\.000(?!\d)"
+P_BELOW_ZERO = r"P\s*<\s*0\.000"
+P_THRESHOLD = r"P\s*<\s*0\.\d+"
+P_EXACT = r"P\s*=\s*0\.\d+"
+P_PRECISE = r"P\s*=\s*0\.\d{3,}"
+P_LIMIT = r"P\s*[<≤]\s*(0\.\d+)"
+P_DECLARED = r"(?U)P\s*[<＜]\s*(0\.\d+)"
+SIGNIFICANT_WORD = "差异有统计学意义"
+
+#: Words of declared tests and of the checks they need.
+T_TEST_WORDS = ("t检验", "t test")
+ANOVA_WORDS = ("方差分析", "anova")
+NORMALITY_WORD = "正态"
+EQUAL_VARIANCE_WORDS = ("方差齐性", "levene", "bartlett")
+
+#: Type of data that a declared method implies: the first whose words the lower-cased text contains.
+INFERRED_TYPES = (
+    ("categorical_rxc", ("χ²", "χ2", "卡方", "计数", "例数", "构成比", "率")),
+    ("survival_time", ("kaplan", "meier", "生存", "cox", "log.rank", "log-rank")),
+    ("correlation", ("pearson", "spearman", "相关", "相关系数")),
+    ("continuous_paired", ("配对", "前后", "自身对照", "同体")),
+    ("continuous_normal_multi_groups", ("多组", "方差分析", "anova", "单因素分差")),
+    ("continuous_normal_two_groups", ("两组", "t检验", "t test")),
+)
+
+#: Words of each kind of paper, and in how many first characters they are looked for (0: the whole lower-cased text).
+REVIEW_WORDS, REVIEW_CHARS = ("综述", "Review", "进展", "Progress"), 200
+SURVEY_WORDS, SURVEY_CHARS = ("问卷调查", "问卷", "调查表", "量表", "计数", "例数"), 300
+GEO_WORDS = ("geo ", "gse", "tcga", "geo accession", "geo数据集")
+WET_LAB_WORDS = ("western blot", "免疫印迹", "western-blot", "wb ")
+BAR_CHART_WORDS = ("bar chart", "柱状图", "barplot")
+TRIAL_WORDS, TRIAL_CHARS = ("rct", "randomized", "随机对照", "临床试验", "clinical trial"), 500
+MEAN_SD_SIGN = r"(?U)[xXx̄\\bar{X}][±±±]\s*[sS]"
+MEAN_SD_WORDS = r"(?U)mean\s*±\s*sd"
+GRANT_NUMBER = r"(?U)\d{7,10}"
+FUNDING_WORDS = ("基金", "funding", "grant", "资助", "NSFC", "国家自然科学")
+
+#: The three short contradiction rules.
+SHORT_RULES = (
+    ("contradiction", r"差异无统计学意义.*P\s*[<＜]\s*0\.\d+"),
+    ("direction", r"差异具有统计学意义.*?P\s*>\s*0\.\d+"),
+    ("difference", r"统计学差异.*?P\s*>\s*0\.\d+"),
+)
+
+#: Where a paper's identity stands in its first pages.
+DOI_FIELD = r"(?U)(?:doi|DOI)[:\s]*([0-9]+\.[0-9]+/[^\s]+)"
+AUTHORS_ZH = r"(?U)(?:作者[：:]\s*)([^。\n]{5,300})"
+AUTHOR_MARKS = "[0-9①②③④⑤⑥⑦⑧⑨⑩*△#†‡§¶]"
+AUTHOR_GAP_ZH = r"(?U)[，,;；\s]+"
+AUTHORS_EN = r"(?Ui)(?:Authors?|Author\s*list)[:\s]+([^\n]{20,400})"
+AUTHOR_GAP_EN = r"(?U),\s*(?=[A-Z])|\d,\s*|\d\s+(?=[A-Z])"
+CAPITAL_AUTHORS = r"(?U)(?:[A-Z]{2,}(?:\s+[A-Z]{2,})?\d{1,2}(?:,\s+|\s+and\s+)){2,}[A-Z]{2,}(?:\s+[A-Z]{2,})?\d{1,2}"
+CAPITAL_GAP = r"(?U),\s*|\s+and\s+"
+CORRESPONDING_ZH = r"(?U)(?:通讯作者|通信作者)[：:\s]*([^\n]{3,50})"
+STARRED_ZH = r"([一-鿿]{2,4})[*△](?:\s|,|，|$)"
+CORRESPONDING_EN = r"(?Ui)(?:Correspondence\s*to|Corresponding\s*author)[:\s]*([^\n,]{5,80})"
+STARRED_EN = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})[*△#](?:\s|,|\.|$)"
+INSTITUTION_ZH = r"(?U)(?:单位|机构)[：:\s]*([^\n]{5,200})"
+INSTITUTION_EN = r"(?:Department|Institute|College|University|Hospital|School)[^\n]{5,200}"
+JOURNAL_VOLUME = r"(?U)([A-Z][A-Z\s&]+)\s+\d+[:\s]"
+JOURNAL_NAME = r"(?:ONCOLOGY|CANCER|NATURE|SCIENCE|CELL|LANCET|BMJ|PLOS|JOURNAL)[A-Z\s]*"
+FUNDING_LINE = r"(?:(?:基金项目|基金|资助)|(?:Funding|Grant|Supported\s*by|Acknowledgments?))[：:\s]*([^\n]{5,400})"
+FUNDING_NUMBER = r"(\d{7,10})"
+
+#: Author and affiliation lines across papers.
+LISTED_AUTHORS_ZH = r"(?:作者|通讯作者|第一作者)[：:]\s*(.+?)(?:[。，;；\n]|$)"
+LISTED_AUTHORS_EN = r"([A-Z][a-z]+ (?:[A-Z]\.?\s?)?[A-Z][a-z]+)"
+AFFILIATIONS = r"(?:单位|机构|作者单位|affiliation|department)[：:]\s*(.+?)(?:[。\n]|$)"
+
+#: Titles and rows of printed tables.
+TABLE_TITLE = r"(?:表\s*\d+|Table\s*\d+|Tab\.?\s*\d+)"
+NO_TABLE = "未知表"
+GROUP_ROW = r"([一-鿿\w\s\-/]+?)\s+(\d+\.?\d*)\s*±\s*(\d+\.?\d*)"
+SERIES_ROW = r"([一-鿿\w-]+)\s+((?:\d+\.?\d*\s*±\s*\d+\.?\d*\s*){3,})"

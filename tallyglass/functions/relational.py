@@ -48,6 +48,20 @@ def chunked(rows: DataFrame, ahead: int, chunk: int) -> DataFrame:
     return rows.withColumn("home", home).withColumn("chunk", F.explode(F.sequence(back, home)))
 
 
+def value_steps(values: DataFrame, keys: list[str], rows_a_range: int) -> DataFrame:
+    """(keys, step, place) of (keys, value): the difference to the next value in value order, by place from 1; the last value has none.
+
+    More rows than rows_a_range are numbered in ranges of values and looked ahead in chunks of places, so that no key needs one task.
+    """
+    step = lambda w: F.round(F.lead("value").over(w) - F.col("value"), 10).alias("step")
+    if values.count() <= rows_a_range:
+        w = Window.partitionBy(*keys).orderBy("value")
+        return values.select(*keys, step(w), F.row_number().over(w).alias("place")).where("step is not null")
+    placed = chunked(ordered_index(values.select(*keys, "value"), keys, ["value"], "idx", F.col("value"), rows_a_range), 1, rows_a_range)
+    w = Window.partitionBy(*keys, "chunk").orderBy("idx")
+    return placed.select(*keys, step(w), (F.col("idx") + 1).alias("place"), "home", "chunk").where("step is not null and home = chunk").drop("home", "chunk")
+
+
 def table_cells(df: DataFrame, columns: list[str], source: str) -> DataFrame:
     """The cell model of a whole table as one source, without an order (idx null): for detectors that count only."""
     parts = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
-from ..functions.relational import chunked, mode
+from ..functions.relational import chunked, mode, value_steps
 
 KEYS = ["source", "col"]
+#: Values that one task sorts at most, where neighbours in value order are looked for.
+ROWS_A_RANGE = 1 << 22
 
 
 def arithmetic_sequence(cells: DataFrame, chunk: int = 1 << 20) -> DataFrame:
@@ -69,13 +71,11 @@ def decimal_prefix(cells: DataFrame, places: tuple[int, ...] = (2, 3)) -> DataFr
     return m.select(*KEYS, "places", "m", "groups", "max_count", "items", z.alias("z"), flagged.alias("flagged"))
 
 
-def arithmetic_grid(cells: DataFrame) -> DataFrame:
+def arithmetic_grid(cells: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Distinct values that lie on a grid: one gap in half or more of over 10 distinct values that are over half of all, and not a usual step."""
     n = cells.groupBy("source", "col_pos", *KEYS[1:]).count()
     u = cells.select("source", "col_pos", "col", "value").distinct()
-    w = Window.partitionBy("source", "col_pos", "col").orderBy("value")
-    gaps = u.select(*KEYS, F.round(F.lead("value").over(w) - F.col("value"), 10).alias("gap"), F.row_number().over(w).alias("place")).where("gap is not null")
-    m = mode(gaps, KEYS, "gap", "place")
+    m = mode(value_steps(u, ["source", "col_pos", "col"], rows_a_range), KEYS, "step", "place")
     out = m.join(n.select(*KEYS, F.col("count").alias("n_values")), KEYS).withColumn("u", F.col("n") + 1)
     usual = F.col("mode").isin(0.1, 0.5, 1.0, 0.01, 0.05)
     flagged = (
@@ -91,14 +91,13 @@ def quality_filter(cells: DataFrame) -> DataFrame:
     return m.select(*KEYS, "n", "n_distinct", F.col("mode").alias("commonest"), "freq", ((F.col("n") >= 4) & (F.col("n_distinct") >= 3) & (F.col("freq") <= 0.6 * F.col("n"))).alias("usable"))
 
 
-def value_sequence(cells: DataFrame, min_pairs: int = 3, p_threshold: float = 0.01) -> DataFrame:
+def value_sequence(cells: DataFrame, min_pairs: int = 3, p_threshold: float = 0.01, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """One difference between neighbours in value order, by its chance among the u different ones: (1 / (u - 1)) ** (m - 1) * C(n, m + 1).
 
     A perfect progression (u = 1) isn't flagged here; arithmetic_sequence has it.
     """
-    w = Window.partitionBy("source", "col_pos", "col").orderBy("value")
-    steps = cells.select(*KEYS, F.round(F.lead("value").over(w) - F.col("value"), 10).alias("d"), F.row_number().over(w).alias("place")).where("d is not null")
-    m = mode(steps, KEYS, "d", "place").select(*KEYS, (F.col("n") + 1).alias("n"), F.col("n_distinct").alias("u"), F.col("mode").alias("step"), F.col("freq").alias("m"))
+    steps = value_steps(cells.select("source", "col_pos", "col", "value"), ["source", "col_pos", "col"], rows_a_range)
+    m = mode(steps, KEYS, "step", "place").select(*KEYS, (F.col("n") + 1).alias("n"), F.col("n_distinct").alias("u"), F.col("mode").alias("step"), F.col("freq").alias("m"))
     k = F.least(F.col("m") + 1, F.col("n") - F.col("m") - 1)
     log_choose = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.ln((F.col("n") - k + i) / i))
     log_p = log_choose - (F.col("m") - 1) * F.ln((F.col("u") - 1).cast("double"))

@@ -73,8 +73,8 @@ def authors(docs: DataFrame) -> DataFrame:
     joined = lambda m: F.array_join(m, "|")
     return docs.select(
         "paper", F.size(F.regexp_extract_all("text", F.lit(lk.EMAIL), F.lit(0))).cast("long").alias("n_emails"),
-        joined(matches(t, r"(?:作者|通讯作者|第一作者)[：:]\s*(.+?)(?:[。，;；\n]|$)", 1)).alias("authors_zh"),
-        joined(F.slice(matches(t, r"([A-Z][a-z]+ (?:[A-Z]\.?\s?)?[A-Z][a-z]+)", 1), 1, 20)).alias("authors_en"),
-        joined(matches(t, r"(?:单位|机构|作者单位|affiliation|department)[：:]\s*(.+?)(?:[。\n]|$)", 1, True)).alias("affiliations"),
+        joined(matches(t, lk.LISTED_AUTHORS_ZH, 1)).alias("authors_zh"),
+        joined(F.slice(matches(t, lk.LISTED_AUTHORS_EN, 1), 1, 20)).alias("authors_en"),
+        joined(matches(t, lk.AFFILIATIONS, 1, True)).alias("affiliations"),
         joined(F.regexp_extract_all("text", F.lit(lk.DOI), F.lit(1))).alias("dois"),
     )

@@ -45,7 +45,7 @@ def decimal_tails(docs: DataFrame) -> DataFrame:
 
     HIGH over half, MEDIUM over 30 %; CLEAN is only reported up to 2 places. Ties go to the tail that comes first.
     """
-    tails = docs.select("doc_id", F.posexplode(matches(F.col("text"), r"\b(\d+\.(\d+))\b", 2)).alias("at", "tail"))
+    tails = docs.select("doc_id", F.posexplode(matches(F.col("text"), lk.DECIMAL, 2)).alias("at", "tail"))
     by = tails.groupBy("doc_id", F.length("tail").alias("digits"), "tail").agg(F.count("*").alias("c"), F.min("at").alias("first"))
     out = by.groupBy("doc_id", "digits").agg(F.sum("c").alias("total"), F.max(F.struct(F.col("c"), -F.col("first"), F.col("tail"))).alias("b")).where("total >= 10")
     share = F.col("b")["c"] / F.col("total")
@@ -58,8 +58,8 @@ def p_value_format(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     out = docs.select(
         "doc_id",
-        count(t, r"P\s*=\s*0\.000(?!\d)").alias("exact_zero"), count(t, r"P\s*<\s*0\.000").alias("below_zero"), count(t, r"P\s*<\s*0\.\d+").alias("thresholds"),
-        count(t, r"P\s*=\s*0\.\d+").alias("exact"), count(t, r"P\s*=\s*0\.\d{3,}").alias("precise"), count(t, "差异有统计学意义").alias("significant"),
+        count(t, lk.P_EXACT_ZERO).alias("exact_zero"), count(t, lk.P_BELOW_ZERO).alias("below_zero"), count(t, lk.P_THRESHOLD).alias("thresholds"),
+        count(t, lk.P_EXACT).alias("exact"), count(t, lk.P_PRECISE).alias("precise"), count(t, lk.SIGNIFICANT_WORD).alias("significant"),
     )
     level = F.when((F.col("exact_zero") > 0) | (F.col("below_zero") > 0), "L2").when((F.col("thresholds") > 5) & (F.col("exact") == 0), "L1")
     return out.withColumn("no_precise", (F.col("thresholds") > 5) & (F.col("exact") == 0)).withColumn("level", level)
@@ -67,7 +67,7 @@ def p_value_format(docs: DataFrame) -> DataFrame:
 
 def duplicate_numbers(docs: DataFrame) -> DataFrame:
     """(doc_id, n, n_unique, repeated, signal): the share of numbers of 3 digits or more that the 20 commonest repeated ones make up; of 10 or more."""
-    numbers = matches(F.col("text"), r"\b(\d+\.?\d*)\b", 1)
+    numbers = matches(F.col("text"), lk.NUMBER, 1)
     long = F.filter(numbers, lambda x: F.length(F.replace(x, F.lit("."), F.lit(""))) >= 3)
     some = docs.select("doc_id", F.explode(long).alias("x"))
     by = some.groupBy("doc_id", "x").agg(F.count("*").alias("c"))
@@ -120,7 +120,7 @@ def declarations(docs: DataFrame) -> DataFrame:
     named = lines.select("doc_id", "line", F.inline(found))
     software = lines.select("doc_id", "line", F.explode(F.filter(F.array(*map(F.lit, lk.SOFTWARE)), lambda s: F.contains(F.lower("raw"), F.lower(s)))).alias("s"))
     first = software.groupBy("doc_id", "s").agg(F.min("line").alias("line")).select("doc_id", "line", F.lit("software").alias("kind"), F.col("s").alias("method"))
-    p = F.regexp_extract("text", r"(?U)P\s*[<＜]\s*(0\.\d+)", 1)
+    p = F.regexp_extract("text", lk.P_DECLARED, 1)
     threshold = docs.select("doc_id", F.lit(0).alias("line"), F.lit("threshold").alias("kind"), p.alias("method")).where("method <> ''")
     return named.unionByName(first).unionByName(threshold)
 
@@ -147,28 +147,23 @@ def method_suitability(declared: DataFrame) -> DataFrame:
 def premises(docs: DataFrame) -> DataFrame:
     """Premises of declared methods: normality, equal variances, group sizes below 3 and below 5, inferred data type."""
     t, low = F.col("text"), F.lower("text")
-    n = F.transform(matches(t, r"[nN]\s*[=＝]\s*(\d+)", 1), lambda x: x.try_cast("long"))
-    t_test = contains_any(low, ["t检验", "t test"])
-    anova = contains_any(low, ["方差分析", "anova"])
+    n = F.transform(matches(t, lk.GROUP_SIZE, 1), lambda x: x.try_cast("long"))
+    t_test = contains_any(low, lk.T_TEST_WORDS)
+    anova = contains_any(low, lk.ANOVA_WORDS)
     words = F.filter(F.array(*map(F.lit, lk.STATISTICAL_WORDS)), lambda w: F.contains(low, F.lower(w)))
     out = docs.select("doc_id", t_test.alias("t_test"), anova.alias("anova"), words.alias("words"), F.slice(n, 1, 10).alias("n_values"), F.exists(n, lambda x: x < 3).alias("below_3"), t.alias("_t"), low.alias("_l"))
-    infer = (
-        F.when(contains_any(F.col("_l"), ["χ²", "χ2", "卡方", "计数", "例数", "构成比", "率"]), "categorical_rxc")
-        .when(contains_any(F.col("_l"), ["kaplan", "meier", "生存", "cox", "log.rank", "log-rank"]), "survival_time")
-        .when(contains_any(F.col("_l"), ["pearson", "spearman", "相关", "相关系数"]), "correlation")
-        .when(contains_any(F.col("_l"), ["配对", "前后", "自身对照", "同体"]), "continuous_paired")
-        .when(contains_any(F.col("_l"), ["多组", "方差分析", "anova", "单因素分差"]), "continuous_normal_multi_groups")
-        .when(contains_any(F.col("_l"), ["两组", "t检验", "t test"]), "continuous_normal_two_groups")
-        .otherwise("unknown")
-    )
+    infer = F.when(F.lit(False), "")
+    for kind, some in lk.INFERRED_TYPES:
+        infer = infer.when(contains_any(F.col("_l"), some), kind)
+    infer = infer.otherwise("unknown")
     small = F.filter("n_values", lambda x: x < 5)
     return out.select(
         "doc_id", F.array_join("words", "|").alias("words"), F.array_join(F.col("n_values").cast("array<string>"), "|").alias("n_values"),
-        F.when(F.col("t_test") & ~F.contains("_t", F.lit("正态")), "MEDIUM").alias("normality"),
-        F.when(F.col("anova") & ~contains_any(F.col("_l"), ["方差齐性", "levene", "bartlett"]), "MEDIUM").alias("homoscedasticity"),
+        F.when(F.col("t_test") & ~F.contains("_t", F.lit(lk.NORMALITY_WORD)), "MEDIUM").alias("normality"),
+        F.when(F.col("anova") & ~contains_any(F.col("_l"), lk.EQUAL_VARIANCE_WORDS), "MEDIUM").alias("homoscedasticity"),
         F.when(F.col("t_test") & F.coalesce("below_3", F.lit(False)), "HIGH").alias("too_few"),
         F.when((F.size(small) > 0) & F.exists("words", lambda w: F.contains(F.lower(w), F.lit("t"))), F.array_min(small)).alias("small_n"),
-        F.try_to_number(F.nullif(F.regexp_extract("_t", r"(?U)P\s*[<≤]\s*(0\.\d+)", 1), F.lit("")), F.lit("9.9999999999")).cast("double").alias("p_threshold"),
+        F.try_to_number(F.nullif(F.regexp_extract("_t", "(?U)" + lk.P_LIMIT, 1), F.lit("")), F.lit("9.9999999999")).cast("double").alias("p_threshold"),
         infer.alias("data_type"),
     )
 
@@ -189,7 +184,7 @@ def conclusions(docs: DataFrame, statements: int = 10, others: int = 5) -> DataF
 
 def mean_sd_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, n, first_pairs): printed mean ± deviation pairs and the first five."""
-    p = r"(\d+\.?\d*)\s*[±]\s*(\d+\.?\d*)"
+    p = lk.MEAN_SD
     m, s = matches(F.col("text"), p, 1), matches(F.col("text"), p, 2)
     five = F.transform(F.slice(F.arrays_zip(m.alias("m"), s.alias("s")), 1, 5), lambda x: F.concat_ws("±", x["m"], x["s"]))
     return docs.select("doc_id", F.size(m).cast("long").alias("n"), F.array_join(five, "|").alias("first_pairs"))
@@ -199,14 +194,14 @@ def data_type(docs: DataFrame) -> DataFrame:
     """(doc_id, data_type, has_wb, has_bar_chart, is_trial, has_mean_sd, has_funding, layer1..layer5): a cascade of key words, and the layers' coverage."""
     t, low = F.col("text"), F.lower("text")
     head = lambda n, c: F.substring(c, 1, n)
-    review = contains_any(head(200, t), ["综述", "Review", "进展", "Progress"])
-    survey = ~review & contains_any(head(300, t), ["问卷调查", "问卷", "调查表", "量表", "计数", "例数"])
-    geo = ~review & ~survey & contains_any(low, ["geo ", "gse", "tcga", "geo accession", "geo数据集"])
-    wb = ~review & ~survey & ~geo & contains_any(low, ["western blot", "免疫印迹", "western-blot", "wb "])
-    bar = contains_any(low, ["bar chart", "柱状图", "barplot"])
-    trial = contains_any(head(500, low), ["rct", "randomized", "随机对照", "临床试验", "clinical trial"])
-    mean_sd = t.rlike(r"(?U)[xXx̄\\bar{X}][±±±]\s*[sS]") | low.rlike(r"(?U)mean\s*±\s*sd")
-    funding = t.rlike(r"(?U)\d{7,10}") & contains_any(low, ["基金", "funding", "grant", "资助", "NSFC", "国家自然科学"])
+    review = contains_any(head(lk.REVIEW_CHARS, t), lk.REVIEW_WORDS)
+    survey = ~review & contains_any(head(lk.SURVEY_CHARS, t), lk.SURVEY_WORDS)
+    geo = ~review & ~survey & contains_any(low, lk.GEO_WORDS)
+    wb = ~review & ~survey & ~geo & contains_any(low, lk.WET_LAB_WORDS)
+    bar = contains_any(low, lk.BAR_CHART_WORDS)
+    trial = contains_any(head(lk.TRIAL_CHARS, low), lk.TRIAL_WORDS)
+    mean_sd = t.rlike(lk.MEAN_SD_SIGN) | low.rlike(lk.MEAN_SD_WORDS)
+    funding = t.rlike(lk.GRANT_NUMBER) & contains_any(low, lk.FUNDING_WORDS)
     kind = F.when(review, "review").when(survey, "survey").when(geo, "geo_data").when(wb, "wet_lab").when(bar, "bar_chart").when(trial, "clinical_trial").when(mean_sd, "clinical_table").otherwise("unknown")
     table = F.create_map(*[x for k, v in lk.COVERAGE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     out = docs.select("doc_id", kind.alias("data_type"), wb.alias("has_wb"), bar.alias("has_bar_chart"), trial.alias("is_trial"), mean_sd.alias("has_mean_sd"), funding.alias("has_funding"))
@@ -217,8 +212,7 @@ def data_type(docs: DataFrame) -> DataFrame:
 def fallback_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, contradiction, direction, difference): the three short contradiction rules."""
     t = F.col("text")
-    rules = (r"差异无统计学意义.*P\s*[<＜]\s*0\.\d+", r"差异具有统计学意义.*?P\s*>\s*0\.\d+", r"统计学差异.*?P\s*>\s*0\.\d+")
-    return docs.select("doc_id", *[t.rlike("(?U)" + r).alias(n) for r, n in zip(rules, ("contradiction", "direction", "difference"), strict=True)])
+    return docs.select("doc_id", *[t.rlike("(?U)" + r).alias(n) for n, r in lk.SHORT_RULES])
 
 
 def identity(docs: DataFrame) -> DataFrame:
@@ -226,24 +220,24 @@ def identity(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     one = lambda p, g=1, c=t: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
     zh = language(t) == "zh"
-    doi = F.regexp_replace(one(r"(?U)(?:doi|DOI)[:\s]*([0-9]+\.[0-9]+/[^\s]+)"), "[.,;]+$", "")
-    zh_raw = F.regexp_replace(one(r"(?U)(?:作者[：:]\s*)([^。\n]{5,300})"), "[0-9①②③④⑤⑥⑦⑧⑨⑩*△#†‡§¶]", "")
-    zh_authors = F.filter(F.split(zh_raw, r"(?U)[，,;；\s]+"), lambda a: F.length(F.trim(a)) >= 2)
-    listed = one(r"(?Ui)(?:Authors?|Author\s*list)[:\s]+([^\n]{20,400})", 1, F.substring(t, 1, 3000))
-    named = F.filter(F.transform(F.split(listed, r"(?U),\s*(?=[A-Z])|\d,\s*|\d\s+(?=[A-Z])"), lambda a: F.regexp_replace(F.trim(a), "[,.]+$", "")), lambda a: F.length(a) > 2)
-    line = one(r"(?U)(?:[A-Z]{2,}(?:\s+[A-Z]{2,})?\d{1,2}(?:,\s+|\s+and\s+)){2,}[A-Z]{2,}(?:\s+[A-Z]{2,})?\d{1,2}", 0)
-    capital = F.transform(F.filter(F.split(F.regexp_replace(line, r"\d{1,2}", ""), r"(?U),\s*|\s+and\s+"), lambda a: F.length(F.trim(a)) > 3), lambda a: F.initcap(F.trim(a)))
+    doi = F.regexp_replace(one(lk.DOI_FIELD), "[.,;]+$", "")
+    zh_raw = F.regexp_replace(one(lk.AUTHORS_ZH), lk.AUTHOR_MARKS, "")
+    zh_authors = F.filter(F.split(zh_raw, lk.AUTHOR_GAP_ZH), lambda a: F.length(F.trim(a)) >= 2)
+    listed = one(lk.AUTHORS_EN, 1, F.substring(t, 1, 3000))
+    named = F.filter(F.transform(F.split(listed, lk.AUTHOR_GAP_EN), lambda a: F.regexp_replace(F.trim(a), "[,.]+$", "")), lambda a: F.length(a) > 2)
+    line = one(lk.CAPITAL_AUTHORS, 0)
+    capital = F.transform(F.filter(F.split(F.regexp_replace(line, r"\d{1,2}", ""), lk.CAPITAL_GAP), lambda a: F.length(F.trim(a)) > 3), lambda a: F.initcap(F.trim(a)))
     en_authors = F.when(F.size(named) > 0, named).otherwise(capital)
-    corr_zh = F.coalesce(F.trim(one(r"(?U)(?:通讯作者|通信作者)[：:\s]*([^\n]{3,50})")), F.array_join(F.array_distinct(matches(F.substring(t, 1, 2000), r"([一-鿿]{2,4})[*△](?:\s|,|，|$)", 1)), "|"))
-    corr_line = one(r"(?Ui)(?:Correspondence\s*to|Corresponding\s*author)[:\s]*([^\n,]{5,80})")
-    stars = F.filter(matches(F.substring(t, 1, 2000), r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})[*△#](?:\s|,|\.|$)", 1), lambda c: F.length(c) > 3)
+    corr_zh = F.coalesce(F.trim(one(lk.CORRESPONDING_ZH)), F.array_join(F.array_distinct(matches(F.substring(t, 1, 2000), lk.STARRED_ZH, 1)), "|"))
+    corr_line = one(lk.CORRESPONDING_EN)
+    stars = F.filter(matches(F.substring(t, 1, 2000), lk.STARRED_EN, 1), lambda c: F.length(c) > 3)
     corr_en = F.when(corr_line.isNotNull(), F.trim(F.regexp_replace(corr_line, r"\S+@\S+", ""))).otherwise(F.array_join(F.array_distinct(stars), "|"))
-    inst_zh = one(r"(?U)(?:单位|机构)[：:\s]*([^\n]{5,200})", 0)
-    inst_en = one(r"(?:Department|Institute|College|University|Hospital|School)[^\n]{5,200}", 0, F.substring(t, 1, 3000))
+    inst_zh = one(lk.INSTITUTION_ZH, 0)
+    inst_en = one(lk.INSTITUTION_EN, 0, F.substring(t, 1, 3000))
     top = F.substring(t, 1, 500)
-    journal = F.coalesce(F.trim(one(r"(?U)([A-Z][A-Z\s&]+)\s+\d+[:\s]", 1, top)), F.trim(one(r"(?:ONCOLOGY|CANCER|NATURE|SCIENCE|CELL|LANCET|BMJ|PLOS|JOURNAL)[A-Z\s]*", 0, top)))
-    lines = F.slice(matches(t, r"(?:(?:基金项目|基金|资助)|(?:Funding|Grant|Supported\s*by|Acknowledgments?))[：:\s]*([^\n]{5,400})", 1, True), 1, 3)
-    funding = F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda x: matches(x, r"(\d{7,10})", 1)))))
+    journal = F.coalesce(F.trim(one(lk.JOURNAL_VOLUME, 1, top)), F.trim(one(lk.JOURNAL_NAME, 0, top)))
+    lines = F.slice(matches(t, lk.FUNDING_LINE, 1, True), 1, 3)
+    funding = F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda x: matches(x, lk.FUNDING_NUMBER, 1)))))
     authors = F.coalesce(F.when(zh, zh_authors).otherwise(en_authors), F.array().cast("array<string>"))
     out = docs.select(
         "doc_id", F.when(zh, "zh").otherwise("en").alias("language"), doi.alias("doi"), authors.alias("_a"),
@@ -253,16 +247,11 @@ def identity(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "language", "doi", F.array_join("_a", "|").alias("authors"), F.get("_a", F.lit(0)).alias("first_author"), "corresponding", "institution", "journal", "funding")
 
 
-TABLE_TITLE = r"(?:表\s*\d+|Table\s*\d+|Tab\.?\s*\d+)"
-GROUP_ROW = r"([一-鿿\w\s\-/]+?)\s+(\d+\.?\d*)\s*±\s*(\d+\.?\d*)"
-SERIES_ROW = r"([一-鿿\w-]+)\s+((?:\d+\.?\d*\s*±\s*\d+\.?\d*\s*){3,})"
-
-
 def _sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section, table_id, body): the text after each table title up to the next; section 0 is what precedes the first."""
-    titles, bodies = matches(F.col("text"), TABLE_TITLE), F.split("text", "(?U)" + TABLE_TITLE, -1)
+    titles, bodies = matches(F.col("text"), lk.TABLE_TITLE), F.split("text", "(?U)" + lk.TABLE_TITLE, -1)
     return docs.select("doc_id", titles.alias("_n"), F.posexplode(bodies).alias("section", "body")).select(
-        "doc_id", "section", F.when(F.col("section") > 0, F.get("_n", F.col("section") - 1)).otherwise("未知表").alias("table_id"), "body"
+        "doc_id", "section", F.when(F.col("section") > 0, F.get("_n", F.col("section") - 1)).otherwise(lk.NO_TABLE).alias("table_id"), "body"
     )
 
 
@@ -274,7 +263,7 @@ def _with_deviations(body: Column) -> Column:
 def table_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, table_id, group_raw, group_name, mean, sd): printed mean ± deviation rows by table and normalised group."""
     b = _with_deviations(F.col("body"))
-    zipped = F.arrays_zip(matches(b, GROUP_ROW, 1).alias("g"), matches(b, GROUP_ROW, 2).alias("m"), matches(b, GROUP_ROW, 3).alias("s"))
+    zipped = F.arrays_zip(matches(b, lk.GROUP_ROW, 1).alias("g"), matches(b, lk.GROUP_ROW, 2).alias("m"), matches(b, lk.GROUP_ROW, 3).alias("s"))
     rows = _sections(docs).select("doc_id", "table_id", F.inline(zipped)).withColumn("g", F.trim(F.regexp_replace("g", r"^\s+|\s+$", "")))
     return rows.select("doc_id", "table_id", F.col("g").alias("group_raw"), F.coalesce(first_alias(F.col("g"), lk.GROUP_ALIASES), F.col("g")).alias("group_name"), F.col("m").cast("double").alias("mean"), F.col("s").cast("double").alias("sd"))
 
@@ -282,6 +271,6 @@ def table_groups(docs: DataFrame) -> DataFrame:
 def table_series(docs: DataFrame) -> DataFrame:
     """(doc_id, label, t, y): rows of three or more mean ± deviation values after a table title, at times 0, 1, 2, ..."""
     b = _with_deviations(F.col("body"))
-    rows = _sections(docs).where("section > 0").select("doc_id", "table_id", F.inline(F.arrays_zip(matches(b, SERIES_ROW, 1).alias("g"), matches(b, SERIES_ROW, 2).alias("d"))))
+    rows = _sections(docs).where("section > 0").select("doc_id", "table_id", F.inline(F.arrays_zip(matches(b, lk.SERIES_ROW, 1).alias("g"), matches(b, lk.SERIES_ROW, 2).alias("d"))))
     label = F.concat("g", F.lit("("), "table_id", F.lit(")"))
-    return rows.select("doc_id", label.alias("label"), F.posexplode(matches(F.col("d"), r"(\d+\.?\d*)\s*±\s*(\d+\.?\d*)", 1)).alias("t", "y")).select("doc_id", "label", F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))
+    return rows.select("doc_id", label.alias("label"), F.posexplode(matches(F.col("d"), lk.MEAN_SD, 1)).alias("t", "y")).select("doc_id", "label", F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))

@@ -163,12 +163,31 @@ def _(read):
     return text.premises(papers(read))
 
 
-@query("declarations")
+_LINES = "lines AS (SELECT doc_id, line, trim(raw) AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS line FROM papers) WHERE trim(raw) <> '')"
+
+
+@query(
+    "declarations",
+    f"{_WITH}, {_LINES} "
+    + " UNION ALL ".join(f"SELECT doc_id, line, 'method{k}' AS kind, unnest(regexp_extract_all(raw, {sql_text('(?i)' + p)})) AS method FROM lines" for k, p in enumerate(lk.DECLARATIONS, 1))
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT doc_id, min(line), 'software', {sql_text(x)} FROM lines WHERE contains(lower(raw), {sql_text(x.lower())}) GROUP BY doc_id" for x in lk.SOFTWARE)
+    + " UNION ALL SELECT doc_id, 0, 'threshold', regexp_extract(text, 'P\\s*[<＜]\\s*(0\\.\\d+)', 1) FROM papers WHERE regexp_matches(text, 'P\\s*[<＜]\\s*0\\.\\d+')",
+)
 def _(read):
     return text.declarations(papers(read))
 
 
-@query("tortured_phrases")
+#: Occurrences of the phrases but for those that an earlier phrase overlaps.
+TORTURED_SQL = (
+    f"{_WITH}, phrases(k, abnormal, usual, confidence) AS (VALUES " + ", ".join(f"({k}, {sql_text(a)}, {sql_text(b)}, {sql_text(c)})" for k, (a, b, c) in enumerate(lk.TORTURED_PHRASES)) + "), "
+    "has AS (SELECT doc_id, text, k, abnormal, usual, confidence, unnest(range(0, length(text))) AS s FROM papers JOIN phrases ON contains(text, abnormal)), "
+    "found AS (SELECT *, s + length(abnormal) AS e FROM has WHERE substr(text, s + 1, length(abnormal)) = abnormal), "
+    "kept AS (SELECT * FROM found AS f WHERE NOT EXISTS (SELECT 1 FROM found AS g WHERE g.doc_id = f.doc_id AND g.k < f.k AND g.s < f.e AND f.s < g.e))"
+)
+
+
+@query("tortured_phrases", TORTURED_SQL + ' SELECT doc_id, abnormal, usual, confidence, s::INTEGER AS "start", e::INTEGER AS "end", substr(text, greatest(s - 40, 0) + 1, least(e + 40, length(text)) - greatest(s - 40, 0)) AS context FROM kept')
 def _(read):
     return text.tortured_phrases(papers(read))
 
@@ -242,7 +261,14 @@ def _(read):
     return crossdoc.without_doi(named(read))
 
 
-@query("author_extract")
+_JOINED = lambda p, most="": f"array_to_string(regexp_extract_all(text, {sql_text(p)}, 1){most}, '|')"
+
+
+@query(
+    "author_extract",
+    f"{_WITH} SELECT 'p' || doc_id AS paper, len(regexp_extract_all(text, '{_EMAIL}')) AS n_emails, {_JOINED(lk.LISTED_AUTHORS_ZH)} AS authors_zh, {_JOINED(lk.LISTED_AUTHORS_EN, '[1:20]')} AS authors_en, "
+    f"{_JOINED('(?i)' + lk.AFFILIATIONS)} AS affiliations, {_JOINED(r'(10\.\d{4,}/[\pL\pN\pM_.()-]+)')} AS dois FROM papers",
+)
 def _(read):
     return crossdoc.authors(named(read))
 
@@ -254,22 +280,46 @@ TABLED = (
 
 
 def tabled(read):
-    return read("documents").sparkSession.createDataFrame(list(enumerate(TABLED)), "doc_id long, text string")
+    """All papers, and those with tables."""
+    made = read("documents").sparkSession.createDataFrame([(-100 - i, t) for i, t in enumerate(TABLED)], "doc_id long, text string").coalesce(1)
+    return papers(read).unionByName(made)
+
+
+_TITLE = r"(?:表\s*\d+|Table\s*\d+|Tab\.?\s*\d+)"
+_NAME = r"一-鿿\pL\pN\pM_"
+_SECTIONS = (
+    f"{_WITH}, tabled AS (SELECT * FROM papers UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-100 - i}, {sql_text(t)})" for i, t in enumerate(TABLED)) + ") v(doc_id, text)), "
+    f"cut AS (SELECT doc_id, regexp_extract_all(text, '{_TITLE}') AS titles, string_split_regex(text, '{_TITLE}') AS bodies FROM tabled WHERE contains(text, '±')), "
+    "sections AS (SELECT doc_id, section, CASE WHEN section = 0 THEN '未知表' ELSE titles[section] END AS table_id, body FROM (SELECT doc_id, titles, unnest(bodies) AS body, unnest(range(0, len(bodies))) AS section FROM cut) WHERE contains(body, '±'))"
+)
+_ROW = rf"([{_NAME}\s\-/]+?)\s+(\d+\.?\d*)\s*±\s*(\d+\.?\d*)"
+_POINTS = rf"([{_NAME}-]+)\s+((?:\d+\.?\d*\s*±\s*\d+\.?\d*\s*){{3,}})"
 
 
-@query("table_groups")
+@query(
+    "table_groups",
+    f"{_SECTIONS}, r AS (SELECT doc_id, table_id, unnest(regexp_extract_all(body, '{_ROW}', 1)) AS g, unnest(regexp_extract_all(body, '{_ROW}', 2)) AS m, unnest(regexp_extract_all(body, '{_ROW}', 3)) AS s FROM sections), "
+    "t AS (SELECT doc_id, table_id, trim(regexp_replace(g, '^\\s+|\\s+$', '', 'g')) AS g, m, s FROM r) SELECT doc_id, table_id, g AS group_raw, CASE "
+    + " ".join(f"WHEN contains(lower(g), {sql_text(a)}) THEN {sql_text(n)}" for a, n in lk.GROUP_ALIASES)
+    + " ELSE g END AS group_name, CAST(m AS DOUBLE) AS mean, CAST(s AS DOUBLE) AS sd FROM t",
+)
 def _(read):
     return text.table_groups(tabled(read))
 
 
-@query("table_series")
+@query(
+    "table_series",
+    f"{_SECTIONS}, r AS (SELECT doc_id, table_id, unnest(regexp_extract_all(body, '{_POINTS}', 1)) AS g, unnest(regexp_extract_all(body, '{_POINTS}', 2)) AS d FROM sections WHERE section > 0), "
+    "y AS (SELECT doc_id, g || '(' || table_id || ')' AS label, regexp_extract_all(d, '(\\d+\\.?\\d*)\\s*±\\s*(\\d+\\.?\\d*)', 1) AS v FROM r) "
+    "SELECT doc_id, label, CAST(unnest(range(0, len(v))) AS DOUBLE) AS t, CAST(unnest(v) AS DOUBLE) AS y FROM y",
+)
 def _(read):
     return text.table_series(tabled(read))
 
 
 @query("paper_review")
 def _(read):
-    found = review.review(papers(read).unionByName(tabled(read).select(F.col("doc_id") - 100, "text").toDF("doc_id", "text")))
+    found = review.review(tabled(read))
     return found.select("source", "detector", "severity", F.array_join("subject", ",").alias("subject"), "description")
 
 

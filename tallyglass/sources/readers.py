@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import re
 import time
 import urllib.parse
 import urllib.request
@@ -73,29 +74,116 @@ def columnar_cells(spark: SparkSession, path: str, kind: str, order: list[str],
     return _as_cells(rows, stem(path), [(c, c) for c in df.columns], F.lit(""), min_values)
 
 
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Numbers of the built-in formats that print a number as a date or a time.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _column(reference: str) -> int:
+    """0-based column of a cell reference such as AB12."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def _dated(styles: bytes | None) -> set[int]:
+    """Cell styles that print numbers as dates."""
+    from xml.etree import ElementTree
+
+    if styles is None:
+        return set()
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter() if _tag(f) == "numFmt"}
+    is_date = lambda k: k in DATE_FORMATS or re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(k, "")).lower()) is not None
+    formats = next((x for x in root if _tag(x) == "cellXfs"), [])
+    return {i for i, x in enumerate(formats) if is_date(int(x.get("numFmtId", 0)))}
+
+
+def workbook_sheets(content: bytes, active_only: bool = False) -> Iterator[tuple[str, list[list[str | None]]]]:
+    """(title, rows) of an .xlsx workbook's sheets in order, or of its active sheet; a cell is its text, None without one. Rows begin at the first of the sheet.
+
+    Formulas have their stored results; errors count as empty; dates aren't numbers and have the text "date".
+    """
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    try:
+        book = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as odd:
+        raise ValueError("not an .xlsx workbook") from odd
+    with book as z:
+        read = lambda name: z.read(name) if name in z.namelist() else None
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        root = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        joined = lambda x: "".join(t.text or "" for part in x for t in ([part] if _tag(part) == "t" else part if _tag(part) == "r" else []) if _tag(t) == "t")
+        shared = [joined(x) for x in ElementTree.fromstring(read("xl/sharedStrings.xml") or b"<sst/>")]
+        dated = _dated(read("xl/styles.xml"))
+        active = next((int(v.get("activeTab", 0)) for v in root.iter() if _tag(v) == "workbookView"), 0)
+
+        def text(cell) -> str | None:
+            kind = cell.get("t", "n")
+            value = next((x.text for x in cell if _tag(x) == "v"), None)
+            if kind == "inlineStr":
+                return next((joined(x) for x in cell if _tag(x) == "is"), None)
+            if value is None or kind == "e":
+                return None
+            if kind == "s":
+                return shared[int(value)]
+            if kind == "b":
+                return "True" if value == "1" else "False"
+            return "date" if kind == "d" or (kind == "n" and int(cell.get("s", 0)) in dated) else value
+
+        for i, sheet in enumerate(x for x in root.iter() if _tag(x) == "sheet"):
+            if active_only and i != active:
+                continue
+            target = targets[sheet.get(_RELATION)]
+            rows: list[list[str | None]] = []
+            with z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as part:
+                for _, row in ElementTree.iterparse(part):
+                    if _tag(row) != "row":
+                        continue
+                    while len(rows) < int(row.get("r", len(rows) + 1)) - 1:
+                        rows.append([])
+                    line: list[str | None] = []
+                    for cell in row:
+                        at = _column(cell.get("r", "")) if cell.get("r") else len(line)
+                        line += [None] * (at + 1 - len(line))
+                        line[at] = text(cell)
+                    rows.append(line)
+                    row.clear()
+            yield sheet.get("name"), rows
+
+
 def excel_cells(spark: SparkSession, path: str, min_values: int = 3, first_sheet_only: bool = False) -> DataFrame:
-    """Cells of all sheets of Excel files (columns named sheet/column), or of the active sheet; needs openpyxl."""
-    needs("openpyxl", "reading Excel files")
+    """Cells of all sheets of .xlsx files (columns named sheet/column), or of the active sheet."""
+    return workbook_cells(spark.read.format("binaryFile").load(path).select("path", "content"), min_values, first_sheet_only)
 
-    def run(batches: Iterator) -> Iterator:
-        import io
 
-        import openpyxl
+def workbook_cells(files: DataFrame, min_values: int = 3, first_sheet_only: bool = False) -> DataFrame:
+    """excel_cells() of (path, content)."""
+
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                book = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-                for sheet in [book.active] if first_sheet_only else book.worksheets:
-                    rows = list(sheet.iter_rows(values_only=True))
+                for title, rows in workbook_sheets(content, first_sheet_only):
                     if rows:
                         out = []
                         for i, n in _names([str(h or "") for h in rows[0]], "col_"):
-                            values = [str(r[i]) for r in rows[1:] if i < len(r) and r[i] is not None]
-                            out += [(stem(file), sheet.title, i, f"{sheet.title}/{n}", k, v) for k, v in enumerate(values)]
+                            values = [r[i] for r in rows[1:] if i < len(r) and r[i] is not None]
+                            out += [(stem(file), title, i, f"{title}/{n}", k, v) for k, v in enumerate(values)]
                         yield pd.DataFrame(out, columns=["source", "sheet", "col_pos", "col", "row", "text"])
 
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, sheet string, col_pos int, col string, row long, text string")
+    cells = files.select("path", "content").mapInPandas(run, "source string, sheet string, col_pos int, col string, row long, text string")
     parsed = cells.withColumn("value", parse_number(F.col("text"))).where("value is not null")
     w = Window.partitionBy("source", "sheet", "col_pos")
     numbered = parsed.withColumn("idx", F.row_number().over(w.orderBy("row")) - 1).withColumn("n", F.count("*").over(w))
@@ -103,10 +191,12 @@ def excel_cells(spark: SparkSession, path: str, min_values: int = 3, first_sheet
 
 
 def table_cells(spark: SparkSession, path: str, min_values: int = 3, order: list[str] | None = None) -> DataFrame:
-    """Cells of a file by its extension: Excel, JSON, Parquet and ORC, else CSV."""
+    """Cells of a file by its extension: Excel (.xlsx), JSON, Parquet and ORC, else CSV."""
     kind = extension(path)
-    if kind in ("xlsx", "xls"):
+    if kind in ("xlsx", "xlsm"):
         return excel_cells(spark, path, min_values)
+    if kind == "xls":
+        needs("xlrd", "reading .xls files")
     if kind == "json":
         return json_cells(spark, path, min_values)
     if kind in ("parquet", "orc"):
@@ -200,7 +290,7 @@ def pdf_images(spark: SparkSession, path: str, least: int = 100, min_kb: int = 0
 
 
 def parse_tables(name: str, content: bytes, max_rows: int = 5000, density: float = 0.3) -> Iterator[tuple[str, int, list[str]]]:
-    """(table, row number, cells) of a CSV file, or of those in a zip archive (archives in it too), if over `density` of the cells are numbers. max_rows bounds what one supplement contributes."""
+    """(table, row number, cells) of a CSV file, of a workbook's sheets, or of those in a zip archive (archives in it too), if over `density` of the cells are numbers. max_rows bounds what one table contributes."""
     import csv
     import io
     import zipfile
@@ -212,9 +302,16 @@ def parse_tables(name: str, content: bytes, max_rows: int = 5000, density: float
                     yield from parse_tables(f"{name}/{inner}", z.read(inner), max_rows, density)
     elif extension(name) == "csv":
         rows = [r for _, r in zip(range(max_rows + 1), csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))), strict=False)]
-        cells = [c.strip().replace("%", "").replace(",", "") for r in rows[1:] for c in r]
-        if cells and sum(map(_is_number, cells)) / len(cells) > density:
-            yield from ((name, i, r) for i, r in enumerate(rows))
+        yield from _dense(name, rows, density)
+    elif extension(name) in ("xlsx", "xlsm"):
+        for title, rows in workbook_sheets(content):
+            yield from _dense(f"{name}/{title}", [[c or "" for c in r] for r in rows[: max_rows + 1]], density)
+
+
+def _dense(name: str, rows: list[list[str]], density: float) -> Iterator[tuple[str, int, list[str]]]:
+    cells = [c.strip().replace("%", "").replace(",", "") for r in rows[1:] for c in r]
+    if cells and sum(map(_is_number, cells)) / len(cells) > density:
+        yield from ((name, i, r) for i, r in enumerate(rows))
 
 
 def _is_number(cell: str) -> bool:
@@ -260,7 +357,7 @@ def supplementary_links(pages: DataFrame, with_xls: bool = False) -> DataFrame:
     wanted = F.contains(body, F.lit("source data")) | F.contains(body, F.lit("supplementary data")) | F.contains(body, F.lit("supplementary information"))
     wanted = wanted | F.lower(href).rlike(r"\.(xlsx|xls|csv)$" if with_xls else r"\.(xlsx|csv)$")
     root, folder = F.regexp_extract("url", r"^[a-zA-Z]+://[^/]*", 0), F.regexp_extract("url", r"^[a-zA-Z]+://[^/]*(?:/[^?#]*/)?", 0)
-    link = F.when(href.rlike("^[a-zA-Z]+://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^[a-zA-Z]+:", 0), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    link = F.when(href.rlike("^[a-zA-Z]+://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^[a-zA-Z]+:", 0), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), href))
     found = tags.where(wanted).select("page_id", link.alias("link")).distinct()
     return found.unionByName(pages.select("page_id", F.col("url").alias("link")).join(found, "page_id", "left_anti"))
 

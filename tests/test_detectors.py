@@ -167,3 +167,14 @@ def test_long_columns_in_ranges_and_chunks(spark):
     want = columns.arithmetic_sequence(cell).collect()
     for chunk in (1, 2, 7):
         assert columns.arithmetic_sequence(cell, chunk).collect() == want
+
+
+def test_neighbours_in_ranges_of_values(spark):
+    """Columns cut into ranges and chunks have the steps of columns that one task sorts."""
+    from tallyglass.operators import columns
+
+    rows = [(f"s{i % 3}", 0, "c", i, float((i * 37 % 101) * 2.5 + (i % 7 == 0) * 0.3)) for i in range(150)]
+    cells = spark.createDataFrame(rows, "source string, col_pos int, col string, idx long, value double")
+    for f in (columns.arithmetic_grid, columns.value_sequence):
+        whole = sorted(map(tuple, f(cells).collect()))
+        assert len(whole) == 3 and sorted(map(tuple, f(cells, rows_a_range=20).collect())) == whole

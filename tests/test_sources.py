@@ -35,7 +35,16 @@ def test_json_forms(spark, tmp_path):
 
 
 def test_missing_libraries_say_so(spark):
-    for call in (lambda: readers.excel_cells(spark, "x.xlsx"), lambda: readers.pdf_documents(spark, "x")):
+    from tallyglass.operators import images
+
+    calls = (
+        lambda: readers.table_cells(spark, "x.xls"),
+        lambda: readers.pdf_documents(spark, "x"),
+        lambda: readers.pdf_images(spark, "x"),
+        lambda: images.error_levels(spark.range(1)),
+        lambda: images.key_point_matches(spark.range(1), spark.range(1)),
+    )
+    for call in calls:
         with pytest.raises(RuntimeError, match="isn't installed"):
             call()
 
@@ -115,6 +124,34 @@ def test_gaps_are_dropped_not_kept(spark, tmp_path):
     assert columns.arithmetic_sequence(readers.table_cells(spark, str(f)).drop("sheet")).first().n == 5
 
 
+def test_workbooks(spark, tmp_path):
+    book = sinks.workbook({"a & b": [["age", None, "x", "age"], [1, "t", "1,000", 9], [2, None, "50%", 8], [], [3, "u", "nan", 7.5], [4, "v", "2e1"]], "words": [["w"], ["x"], ["y"], ["z"]]})
+    (tmp_path / "trial.xlsx").write_bytes(book)
+    got = readers.table_cells(spark, str(tmp_path / "trial.xlsx"))
+    assert values(got) == {"a & b/age": [9.0, 8.0, 7.5], "a & b/x": [1000.0, 50.0, 20.0]}
+    assert {(r.source, r.sheet) for r in got.collect()} == {("trial", "a & b")}
+    assert [t for t, _ in readers.workbook_sheets(book, True)] == ["a & b"]
+    assert [r[0] for r in readers.parse_tables("s.xlsx", book)] == ["s.xlsx/a & b"] * 6
+    with pytest.raises(ValueError, match="not an .xlsx"):
+        list(readers.workbook_sheets(b"no workbook"))
+
+
+def test_workbook_styles_and_strings():
+    import io
+    import zipfile
+
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{rel}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="A" r:id="r1"/><sheet name="B" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><x Id="r1" Target="worksheets/a.xml"/><x Id="r2" Target="/xl/worksheets/b.xml"/></R>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>plain</t></si><si><r><t>rich </t></r><r><t>text</t></r></si></sst>")
+        z.writestr("xl/styles.xml", '<s><numFmts><numFmt numFmtId="164" formatCode="0.0&quot;days&quot;"/><numFmt numFmtId="165" formatCode="yyyy-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></s>')
+        z.writestr("xl/worksheets/a.xml", "<w><sheetData/></w>")
+        z.writestr("xl/worksheets/b.xml", '<w><sheetData><row r="2"><c r="B2" t="s"><v>1</v></c><c r="D2" t="b"><v>1</v></c></row><row r="3"><c r="A3" s="1"><v>45000</v></c><c r="B3" s="2"><v>1.5</v></c><c r="C3" s="3"><v>2</v></c><c r="AA3" t="e"><v>#N/A</v></c></row></sheetData></w>')
+    assert list(readers.workbook_sheets(out.getvalue(), True)) == [("B", [[], [None, "rich text", None, "True"], ["date", "1.5", "date", *[None] * 24]])]
+
+
 def test_supplement_archives():
     import io
     import zipfile
