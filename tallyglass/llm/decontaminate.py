@@ -114,3 +114,27 @@ def _verified(texts: DataFrame, found: DataFrame, shingles: DataFrame, short: tu
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Items of fewer than five words are one shingle of all their words (n of them).
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), i AS (
+  SELECT item_id, w, least(len(w), 5) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(w) > 0
+), lengths AS (
+  SELECT DISTINCT n FROM i
+), have AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN lengths ON len(w) >= n)
+), asked AS (
+  SELECT DISTINCT item_id, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i)
+), size AS (
+  SELECT item_id, count(*) AS n FROM asked GROUP BY item_id
+)
+SELECT doc_id, item_id, count(*) / any_value(n) AS containment
+FROM have JOIN asked USING (s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8
+"""

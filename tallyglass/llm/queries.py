@@ -20,5 +20,7 @@ QUERIES = {
 #: The other queries are held against brute force in tests/llm.
 ORACLES = {
     "op3_url_filter": url_filter.OP3_SQL,
+    "op5_secrets": secrets.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }

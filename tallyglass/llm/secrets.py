@@ -145,3 +145,31 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql() -> str:
+    """Matches of every kind; their places are the lengths of the pieces and matches before them."""
+    kinds = []
+    for rank, (kind, pattern, _, group, least) in enumerate(RULES):
+        p = _text(pattern)
+        kinds.append(
+            f"SELECT doc_id, {rank} AS kind_rank, '{kind}' AS kind, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits, "
+            f"regexp_extract_all(text, {p}, {group}) AS groups, {least} AS least FROM t WHERE regexp_matches(text, {p})"
+        )
+    return (
+        "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (" + " UNION ALL ".join(kinds) + "), "
+        "e AS (SELECT doc_id, kind_rank, kind, gaps, hits, groups, least, unnest(range(1, len(hits) + 1)) AS i FROM m), "
+        "p AS (SELECT doc_id, kind_rank, kind, length(hits[i]) AS n, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s "
+        "FROM e WHERE length(groups[i]) >= least), "
+        "a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, "
+        f"string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, kind_rank) FILTER (WHERE kind_rank < {len(BASE_KINDS)}) AS base, "
+        "string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, kind_rank) AS spans FROM p GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"
+    )
+
+
+OP5_SQL = _sql()

@@ -118,3 +118,5 @@ def test_odd_rows(spark, odd):
     assert all(not r.keep and r.perplexity is None for r in rows if r.doc_id in (1, 2, 5))
     assert q.classify(odd, labels.where("false")).count() == 8
     assert q.classify(odd.where("false"), labels).count() == 0
+    clash = odd.withColumnRenamed("source", "perplexity").withColumnRenamed("n_chars", "keep")
+    assert q.classify(clash, labels.withColumn("lang", labels["quality"])).count() == 8

@@ -78,6 +78,8 @@ def test_redaction_and_odd_rows(frame, odd, monkeypatch):
     found, _ = s.findings(docs)
     got = {r.doc_id: r.t for r in found.select("doc_id", s.redacted(found["text"], found["spans"]).alias("t")).collect()}
     assert got == {0: 'é [SECRET]" x', 1: "[SECRET]", 2: "clean"}
+    named = odd.withColumnRenamed("lang", "blob").withColumnRenamed("source", "rule_version").withColumnRenamed("n_chars", "spans")
+    assert s.findings(named)[0].count() == 8
     monkeypatch.setattr(s, "BROADCAST_SPANS", -1)
     assert s.findings(odd)[0].count() == 8
     assert s.findings(odd.where("false"))[0].count() == 0

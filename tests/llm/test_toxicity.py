@@ -2,6 +2,8 @@ import math
 import random
 import zlib
 
+import numpy as np
+
 from tallyglass.llm import toxicity as t
 
 
@@ -39,6 +41,60 @@ def test_held_out_accuracy_and_sentences(spark, frame):
     assert good / len(held) > 0.95
 
 
+def slow_train(bags, labels, size):
+    """The proximal AdaGrad of the noisy-or's mean log-likelihood, a number at a time."""
+    n, w, b = len(labels), [0.0] * size, -5.0
+    for epochs, l1 in ((t.EPOCHS, t.L1_DOCUMENTS / n), (t.REFIT, 0.0)):
+        keep = [i for i in range(size) if w[i] or l1]
+        gw, gb = [1e-8] * size, 1e-8
+        for _ in range(epochs):
+            step, up = [0.0] * size, 0.0
+            for sentences, y in zip(bags, labels, strict=True):
+                z = [b + sum(w[f] for f in s if f in keep) for s in sentences]
+                p = [1 / (1 + math.exp(-x)) for x in z]
+                none = math.prod(1 - x for x in p)
+                push = none / max(1 - none, 1e-9) * (1 if l1 else t.TOXIC_WEIGHT)
+                for s, x in zip(sentences, p, strict=True):
+                    g = (push if y else -1) * x / n
+                    up += g
+                    for f in s:
+                        if f in keep:
+                            step[f] += g
+            gb += up * up
+            for i in keep:
+                gw[i] += step[i] ** 2
+                rate = t.RATE / math.sqrt(gw[i])
+                w[i] += rate * step[i]
+                w[i] = math.copysign(max(abs(w[i]) - rate * l1, 0), w[i])
+            b += t.RATE / math.sqrt(gb) * up
+    return w, b
+
+
+def test_training_by_hand():
+    rng = random.Random(3)
+    bags = [[sorted(rng.sample(range(6), rng.randint(0, 4))) for _ in range(rng.randint(1, 4))] for _ in range(30)]
+    labels = [int(any(5 in s for s in b)) for b in bags]
+    packed = [(np.array([f for s in b for f in s], np.int32), np.array([len(s) for s in b], np.int32)) for b in bags]
+    w, b = t.train(packed, labels, 6)
+    slow_w, slow_b = slow_train(bags, labels, 6)
+    assert np.allclose(w, slow_w, atol=1e-6) and abs(b - slow_b) < 1e-6
+    assert w[5] == max(w) > 0
+    assert t.train(packed, [0] * 30, 6)[1] == -50 and t.train([], [], 6)[1] == -50
+
+
+def test_bounds_ties_and_clashing_names(spark, frame):
+    """Repeated ids with other texts, names of the results among the columns, and fewer characters than the labelled texts have."""
+    rows = corpus(120, 5)
+    docs = [(i, x, None, None) for i, x, _ in rows] + [(i, x[::-1], None, None) for i, x, _ in rows[:10]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    clash = frame(docs).withColumnRenamed("lang", "score").withColumnRenamed("source", "toxic").withColumnRenamed("n_chars", "offending")
+    one = t.fit(clash, labels)
+    assert one == t.fit(clash.repartition(3), labels)
+    assert t.score(clash, *one).count() == len(docs)
+    few = t.fit(clash, labels, max_chars=3000)
+    assert few != one and t.score(clash, *few).count() == len(docs)
+
+
 def test_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.fit(odd, none)[0] == {}
