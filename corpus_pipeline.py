@@ -21,13 +21,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go. lang stays as it was where it is known, else it is the prediction."""
+    """Documents with a language; those without a letter go (null and empty texts among them). lang stays as it was where it is known, else it is the prediction.
+
+    Long texts count whole, equal cosines go to the first language by name, repeated rows and null ids each stay a row, an
+    empty table gives an empty one. Of extra columns, whatever their names, only those of documents are kept.
+    """
     found = language.identify(docs.select(*COLUMNS), COLUMNS).where(~F.col("lang_pred").eqNullSafe(language.UNKNOWN))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; repeated rows of an id count once."""
+    """One document of each group of near-duplicates, that with the smallest id; repeated rows of an id count once.
+
+    Null and empty texts are near-duplicates of each other; rows without an id always stay, as they can't be named. Long
+    texts count whole, ties go to the smaller id, an empty table gives an empty one. Extra columns aren't kept.
+    """
     docs = docs.select(*COLUMNS)
     found = checkpoint(simhash.near_duplicates(docs, RESEMBLANCE))
     kept = _without(docs, found.where("component_id < doc_id").select("doc_id").distinct())
@@ -39,13 +47,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as do rows without an id, which can't be named; all rows of an id go with
+    the one that holds an item. Long texts count whole; empty tables drop nothing. Extra columns aren't kept.
+    """
     docs = docs.select(*COLUMNS)
     return _without(docs, decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark; n_chars follows."""
+    """All documents, with every secret replaced by a mark; n_chars follows.
+
+    Texts without a secret, null and empty ones among them, stay as they are; repeated rows and null ids each stay a row;
+    of overlapping spans one mark stands for all. An empty table gives an empty one. Extra columns aren't kept.
+    """
     found, _ = secrets.findings(docs.select(*COLUMNS))
     some = F.size("spans") > 0
     text = F.when(some, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
@@ -53,7 +69,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy taken, in order of virtual time."""
+    """The mix: a row for each copy taken, in order of virtual time.
+
+    Null and empty texts have no words and aren't taken; a null source is a source of its own; repeated rows and null ids
+    are queued row by row, ties in a fixed order. The copy that the budget cuts has its first words only. An empty table gives an empty
+    one. Extra columns aren't kept.
+    """
     sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size"))
     return mixing.mixed_copies(sized).select(*COLUMNS, "copy", "words", "virtual_finish")
 
