@@ -39,6 +39,8 @@ ANCHORS = frozenset(
     el los las y es del una por con se su para no lo al""".split()
 )
 WORD = re.compile(r"[^\W_]+")
+#: Words whose hashes a process keeps: the common ones come back at once, and others cost as much as without.
+WORDS_KEPT = 30_000
 #: Rows of a range, up to RANGES ranges; beyond those the session's shuffle partitions say how many there are.
 ROWS_A_RANGE, RANGES = 4_000, 1 << 14
 #: Where rows without an id stand in the order.
@@ -49,7 +51,7 @@ class _Hashes(dict):
     """Hashes of the words met lately; that of an anchor is odd."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word in ANCHORS)
         return h
@@ -205,6 +207,9 @@ def with_next_text(docs: DataFrame, classes: DataFrame, result: str, use) -> Dat
                 if held and held[0] == r:
                     out.append(use(*held[1:], text))
                 held = None if border else (r, doc, named[1] if doc is not None and named[0] == key else None, text)
+                if len(out) >= 500:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
