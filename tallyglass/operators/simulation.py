@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Name, mean, deviation, least and greatest value of the made-up variables.
@@ -18,6 +20,13 @@ VARIABLES = (
 )
 
 
+def normal(key: Column) -> Column:
+    """A standard normal number drawn from a text by its MD5 (Box and Muller), the same wherever it is computed."""
+    digits = F.md5(key.cast("binary"))
+    part = lambda k: (F.conv(F.substring(digits, k, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+    return F.sqrt(-2 * F.ln(part(1))) * F.cos(F.lit(2 * math.pi) * part(9))
+
+
 def trial_rows(spark: SparkSession, trials: int = 1000, rows: int = 60, groups: int = 4, variables: int = 8, seed: int = 7) -> DataFrame:
     """(source, idx, G1_V1, ...): one wide table for all trials, each a source of its own, from a seed.
 
@@ -27,7 +36,8 @@ def trial_rows(spark: SparkSession, trials: int = 1000, rows: int = 60, groups:
     for g in range(groups):
         for v in range(variables):
             _, mean, sd, low, high = VARIABLES[v % len(VARIABLES)]
-            x = F.least(F.greatest(F.randn(seed * 1000 + g * variables + v) * sd + mean, F.lit(low)), F.lit(high))
+            drawn = normal(F.concat_ws(":", F.lit(str(seed)), F.lit(f"G{g + 1}_V{v + 1}"), F.col("id").cast("string")))
+            x = F.least(F.greatest(drawn * sd + mean, F.lit(low)), F.lit(high))
             cols.append(F.round(x, 2 if sd < 0.5 else 1).alias(f"G{g + 1}_V{v + 1}"))
     base = spark.range(0, trials * rows, numPartitions=max(1, trials * rows // 20_000))
     return base.select(F.concat(F.lit("trial"), F.floor(F.col("id") / rows).cast("string")).alias("source"), (F.col("id") % rows).alias("idx"), *cols)

@@ -37,6 +37,46 @@ def _(read):
     return simulation.false_positive_rates(fi.detect_tables(wide, names), TRIALS)
 
 
+def _drawn(name: str, mean: float, sd: float, low: float, high: float) -> str:
+    """The SQL of simulation.trial_rows' value."""
+    part = lambda k: f"((('0x' || substr(md5('7:{name}:' || id), {k}, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)"
+    return f"round(least(greatest(sqrt(-2 * ln({part(1)})) * cos(2 * pi() * {part(9)}) * {sd} + {mean}, {low}), {high}), {2 if sd < 0.5 else 1}) AS {name}"
+
+
+@query(
+    "trial_table",
+    "SELECT 'trial' || (id // 60) AS source, id % 60 AS idx, " + ", ".join(_drawn(f"G{g}_V{v + 1}", *simulation.VARIABLES[v][1:]) for g in range(1, 5) for v in range(8)) + f" FROM (SELECT unnest(range(0, {TRIALS * 60})) AS id)",
+)
+def _(read):
+    return simulation.trial_rows(read("region").sparkSession, TRIALS)
+
+
+_EVENT_FINDINGS = "SELECT 'u' || user_id AS source, event_type AS detector, CASE WHEN value > 90 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'value ' || event_id AS description, value / 1000 AS p FROM events WHERE value > 50"
+
+
+def event_findings(read):
+    """Findings made of large events, in the columns that reports read."""
+    e = read("events").where("value > 50")
+    return e.select(
+        F.concat(F.lit("u"), "user_id").alias("source"), F.col("event_type").alias("detector"), F.when(F.col("value") > 90, "HIGH").otherwise("MEDIUM").alias("severity"),
+        F.array(F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("subject"), (F.col("value") / 1000).alias("p"), F.concat(F.lit("value "), "event_id").alias("description"),
+    )
+
+
+@query("false_positive_rates", f"SELECT detector, count(*) AS findings, count(DISTINCT source) AS trials_hit, round(count(*) / 150.0, 6) AS rate, round(count(DISTINCT source) / 150.0, 6) AS trial_rate FROM ({_EVENT_FINDINGS}) GROUP BY detector")
+def _(read):
+    return simulation.false_positive_rates(event_findings(read), 150)
+
+
+@query(
+    "report_markdown",
+    f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p, detector, lpad(substr(description, 7), 12, '0')) AS r FROM ({_EVENT_FINDINGS})) "
+    "SELECT source, '## ' || source || chr(10) || chr(10) || string_agg('- **' || severity || '** ' || description, chr(10) ORDER BY r) || chr(10) AS report FROM r WHERE r <= 10 GROUP BY source",
+)
+def _(read):
+    return fi.markdown(event_findings(read))
+
+
 _LINKS = "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT DISTINCT page_id, href, regexp_matches(lower(href), '\\.(xlsx|xls|csv)$') AS is_data FROM l"
 
 

@@ -22,6 +22,9 @@ PAPERS = (
     "Randomized clinical trial with bar chart. Pearson correlation, n=4. doi:10.1234/abc.def. contact zhangsan66@qq.com lxj068@163.com",
     "某县人民医院 细胞转染 基因敲除 临沂市人民医院 ymh3011@163.com zhangsan66@qq.com someone@uni.edu",
     "统计学差异 P > 0.05 差异具有统计学意义 P>0.05 问卷调查 geo accession GSE1 卡方检验 生存",
+    "ONCOLOGY LETTERS 22: 13001, 2021\nAuthors: Anna Berg1, Carl Dorn2, Eva Falk and others\nCorrespondence to: Anna Berg a.berg@uni.edu\nDepartment of Medicine, University of Somewhere\ndoi: 10.1234/xyz.5.\nFunding: grants 1234567 and 7654321",
+    "YANYI LI1, HUIHUI KE1, RUI ZHANG1, JIANLONG ZHU1 and MINGHUA YU2 on repeated values",
+    "作者：张三1，李四2；王五\n通讯作者：张三 电话\n单位：某某大学附属医院 内科\n基金项目：国家自然科学基金 81234567\n" + "本研究采用回顾性方法收集病例并对数据进行整理" * 3,
 )
 
 
@@ -192,7 +195,35 @@ def _(read):
     return text.tortured_phrases(papers(read))
 
 
-@query("identity")
+def _re(pattern: str) -> str:
+    """A pattern without Java's flag for Unicode classes."""
+    return sql_text(pattern.replace("(?Ui)", "(?i)").replace("(?U)", ""))
+
+
+def _first(pattern: str, group: int = 1, column: str = "text") -> str:
+    return f"nullif(regexp_extract({column}, {_re(pattern)}, {group}), '')"
+
+
+#: RE2 has no look-ahead: what stands before a capital becomes a mark first.
+_LISTED = f"regexp_replace(regexp_replace(regexp_replace({_first(lk.AUTHORS_EN, 1, 'substr(text, 1, 3000)')}, '\\d,\\s*', chr(1), 'g'), ',\\s*([A-Z])', chr(1) || '\\1', 'g'), '\\d\\s+([A-Z])', chr(1) || '\\1', 'g')"
+_CAPITALS = f"list_filter(string_split_regex(regexp_replace({_first(lk.CAPITAL_AUTHORS, 0)}, '\\d{{1,2}}', '', 'g'), {_re(lk.CAPITAL_GAP)}), lambda x: length(trim(x)) > 3)"
+_IDENTITY = (
+    f"{_WITH}, i AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 1000), '[一-鿿]')) > 50 AS zh, regexp_replace({_first(lk.DOI_FIELD)}, '[.,;]+$', '') AS doi, "
+    f"list_filter(string_split_regex(regexp_replace({_first(lk.AUTHORS_ZH)}, {_re(lk.AUTHOR_MARKS)}, '', 'g'), {_re(lk.AUTHOR_GAP_ZH)}), lambda x: length(trim(x)) >= 2) AS zh_authors, "
+    f"list_filter(list_transform(string_split({_LISTED}, chr(1)), lambda x: regexp_replace(trim(x), '[,.]+$', '')), lambda x: length(x) > 2) AS listed, "
+    f"list_transform({_CAPITALS}, lambda x: array_to_string(list_transform(string_split(lower(trim(x)), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) AS capital, "
+    f"coalesce(trim({_first(lk.CORRESPONDING_ZH)}), array_to_string(list_distinct(regexp_extract_all(substr(text, 1, 2000), {_re(lk.STARRED_ZH)}, 1)), '|')) AS zh_corr, {_first(lk.CORRESPONDING_EN)} AS corr_line, "
+    f"list_distinct(list_filter(regexp_extract_all(substr(text, 1, 2000), {_re(lk.STARRED_EN)}, 1), lambda x: length(x) > 3)) AS stars, {_first(lk.INSTITUTION_ZH, 0)} AS zh_inst, {_first(lk.INSTITUTION_EN, 0, 'substr(text, 1, 3000)')} AS en_inst, "
+    f"coalesce(trim({_first(lk.JOURNAL_VOLUME, 1, 'substr(text, 1, 500)')}), trim({_first(lk.JOURNAL_NAME, 0, 'substr(text, 1, 500)')})) AS journal, "
+    f"list_sort(list_distinct(flatten(list_transform(regexp_extract_all(text, {sql_text('(?i)' + lk.FUNDING_LINE)}, 1)[1:3], lambda x: regexp_extract_all(x, {_re(lk.FUNDING_NUMBER)}, 1))))) AS funding FROM papers), "
+    "a AS (SELECT *, coalesce(CASE WHEN zh THEN zh_authors WHEN len(listed) > 0 THEN listed ELSE capital END, []) AS authors FROM i) "
+    "SELECT doc_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS language, doi, array_to_string(authors, '|') AS authors, authors[1] AS first_author, "
+    "nullif(CASE WHEN zh THEN zh_corr WHEN corr_line IS NOT NULL THEN trim(regexp_replace(corr_line, '\\S+@\\S+', '', 'g')) ELSE array_to_string(stars, '|') END, '') AS corresponding, "
+    "substr(trim(CASE WHEN zh THEN zh_inst ELSE en_inst END), 1, 200) AS institution, CASE WHEN NOT zh THEN journal END AS journal, array_to_string(funding, '|') AS funding FROM a"
+)
+
+
+@query("identity", _IDENTITY)
 def _(read):
     return text.identity(papers(read))
 
