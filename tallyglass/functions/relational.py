@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +143,7 @@ def hamming_join(hashes: DataFrame, threshold: int, words: tuple[str, ...] = ("h
 
 
 def hamming_blocks(hashes: DataFrame, threshold: int, blocks: int = 16, same: str | None = None) -> DataFrame:
-    """(id_a, id_b, distance) with id_a < id_b, for thresholds at which bands prune nothing: every pair of blocks of rows meets in an equi-join.
+    """hamming_probe() of a few thousand rows: every pair of blocks of rows meets in an equi-join, which costs less there than probes do.
 
     same: a column that both rows must share; it then takes the place of the blocks.
     """
@@ -157,3 +159,26 @@ def hamming_blocks(hashes: DataFrame, threshold: int, blocks: int = 16, same: st
     once = (F.col("i") < F.col("j")) | (F.col("id_x") < F.col("id_y"))
     pairs = a.join(b, ["i", "j"]).where(once).withColumn("distance", distance).where(F.col("distance") <= threshold)
     return pairs.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance")
+
+
+def hamming_probe(hashes: DataFrame, threshold: int, same: str | None = None) -> DataFrame:
+    """(id_a, id_b, distance) with id_a < id_b and at most `threshold` differing bits, for thresholds at which equal bands prune nothing.
+
+    Exact: of four bands of 16 bits, one at least differs in threshold // 4 bits or fewer, so one side is sent to every value of a
+    band within that many bits (137 for 2), where an equi-join on (band, value) finds it. Equal hashes meet as one.
+    same: a column that both rows must share.
+    """
+    keys = [same] if same else []
+    masks = [sum(1 << b for b in bits) for n in range(threshold // 4 + 1) for bits in itertools.combinations(range(16), n)]
+    value = lambda k: F.shiftrightunsigned(F.col("hash"), 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    distinct = hashes.select(*keys, "hash").distinct()
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), value(k).alias("value")) for k in range(4)])
+    own = distinct.select(*keys, "hash", F.inline(bands))
+    probes = own.select(*keys, F.col("hash").alias("hash_a"), "band", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
+    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
+    close = probes.join(own.withColumnRenamed("hash", "hash_b"), [*keys, "band", "value"]).where("hash_a < hash_b").withColumn("distance", distance).where(F.col("distance") <= threshold)
+    close = close.select(*keys, "hash_a", "hash_b", "distance").distinct()
+    left, right = (hashes.select(*keys, F.col("id").alias(f"id_{x}"), F.col("hash").alias(f"hash_{y}")) for x, y in (("x", "a"), ("y", "b")))
+    apart = close.join(left, [*keys, "hash_a"]).join(right, [*keys, "hash_b"]).select(*keys, "id_x", "id_y", "distance")
+    equal = left.join(right.withColumnRenamed("hash_b", "hash_a"), [*keys, "hash_a"]).where("id_x < id_y").select(*keys, "id_x", "id_y", F.lit(0).alias("distance"))
+    return apart.unionByName(equal).select(*keys, F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance")

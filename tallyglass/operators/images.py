@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.relational import hamming_blocks, hamming_join
+from ..functions.relational import hamming_blocks, hamming_join, hamming_probe
 
 SIDE = 8
 CELLS = SIDE * SIDE
@@ -65,9 +65,14 @@ def average_hash_pairs(grids: DataFrame, threshold: int = 6) -> DataFrame:
     return close.withColumn("severity", F.when(F.col("distance") <= 3, "HIGH").when(F.col("distance") <= 5, "MEDIUM").otherwise("LOW"))
 
 
+#: Hashes up to which all pairs cost less than probes.
+FEW = 10_000
+
+
 def hash_similarity(hashed: DataFrame, least: float, same: str | None = None) -> DataFrame:
     """Pairs of (id, hash) with 1 - distance / 64 of at least `least`; within one value of `same` if given."""
-    pairs = hamming_blocks(hashed, int(np.floor((1 - least) * 64 + 1e-9)), same=same)
+    join = hamming_blocks if hashed.limit(FEW + 1).count() <= FEW else hamming_probe
+    pairs = join(hashed, int(np.floor((1 - least) * 64 + 1e-9)), same=same)
     return pairs.withColumn("similarity", 1 - F.col("distance") / 64)
 
 

@@ -109,6 +109,10 @@ def test_hamming_join_equals_brute_force(spark):
         want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= t}
         assert {tuple(r) for r in rel.hamming_join(df, t).collect()} == want
         assert {tuple(r) for r in rel.hamming_blocks(df, t, 5).collect()} == want
+        assert {tuple(r) for r in rel.hamming_probe(df, t).collect()} == want
+    halves = df.selectExpr("id", "hash", "id % 2 AS paper")
+    for join in (rel.hamming_blocks, rel.hamming_probe):
+        assert {r[1:] for r in map(tuple, join(halves, 9, same="paper").collect())} == {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (i - j) % 2 == 0 and (a ^ b).bit_count() <= 9}
 
 
 def test_constant_series_is_monotonic(spark):
