@@ -4,14 +4,15 @@ A text is a set of hashes. Two sets that share at least `threshold` of their uni
 and meet in the first 1 - threshold of both in any one order of all hashes: here rare ones come first. A hash's
 texts are sorted by length, so what is compared lies within one length and the next; a place bound prunes
 further, and what remains is compared in full. Pairs that are connected already are never compared: the first rounds
-compare neighbours by length, then each text with the one that has fewest rare hashes of its own, so that dense groups are
-one component before the last round takes what is still apart.
+compare neighbours by length, then each text with those that have fewest rare hashes of their own, then with the nearest texts
+of other components, so that dense groups are one component before the last round takes every pair that is still apart.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,12 @@ BROADCAST_IDS = 500_000
 COMMON_TEXTS, COMMON = 2_000, 100_000
 #: Neighbours by length that the first round compares.
 NEIGHBOURS = 3
+#: Texts with the fewest rare hashes of their own that all others of a hash are compared with.
+FIRSTS = 8
+#: Rows before and after that a text outside its hash's largest component is compared with.
+NEAREST = 8
+#: Rows of a hash up to which all pairs are looked at in vectors across hashes.
+SMALL = 8
 ROWS = "sig long, doc long, h long, n int, place int"
 _NAMES = ("sig", "doc", "h", "n", "place")
 #: What a hash's rows are sorted by, so that equal texts and near lengths are neighbours.
@@ -137,22 +144,69 @@ def _neighbours(threshold: float):
     return run
 
 
+def _whole_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The rows in arrays that never part those of a hash."""
+    wait: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = _arrays(batch)
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield [np.concatenate(x) for x in zip(*wait, [x[:cut] for x in now], strict=True)]
+            wait = []
+        elif wait and wait[-1][0][-1] != now[0][0]:
+            yield [np.concatenate(x) for x in zip(*wait, strict=True)]
+            wait = []
+        wait.append([x[cut:] for x in now])
+    if wait:
+        yield [np.concatenate(x) for x in zip(*wait, strict=True)]
+
+
 def _firsts(threshold: float):
-    """Pairs of each row and its hash's first, of rows sorted by hash and place: what many resemble has the fewest rare hashes of its own."""
+    """Pairs of each row and its hash's FIRSTS, of rows sorted by hash and place: what many resemble has the fewest rare hashes of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _arrays(batch) if head is None else [np.concatenate(x) for x in zip(head, _arrays(batch), strict=True)]
+        for rows in _whole_hashes(batches):
             new = np.r_[True, rows[0][1:] != rows[0][:-1]]
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            j = np.flatnonzero(~new)
-            j = j[_possible(rows, first[j], j, threshold)]
-            if j.size:
-                yield _pairs(rows, first[j], j)
-            head = [x[first[-1] : first[-1] + 1] for x in rows]
+            every = np.arange(len(first))
+            for k in range(FIRSTS):
+                j = every[first + k < every]
+                i = first[j] + k
+                near = _possible(rows, i, j, threshold)
+                if near.any():
+                    yield _pairs(rows, i[near], j[near])
+
+    return run
+
+
+def _nearest(threshold: float):
+    """Pairs of each row outside its hash's largest component and the NEAREST rows before and after its component's stretch, of rows sorted by hash and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_hashes(batches):
+            sig, component = rows[0], rows[2]
+            first = np.r_[True, sig[1:] != sig[:-1]]
+            of = np.cumsum(first) - 1
+            order = np.lexsort((component, of))
+            own = np.flatnonzero(np.r_[True, (of[order][1:] != of[order][:-1]) | (component[order][1:] != component[order][:-1])])
+            size = np.diff(np.r_[own, len(sig)])
+            by = np.lexsort((size, of[order][own]))  # the last of a hash is its largest component
+            last = np.r_[np.flatnonzero(np.diff(of[order][own][by])), len(by) - 1]
+            main = component[order][own][by][last]
+            new = first | np.r_[True, component[1:] != component[:-1]]
+            start, which = np.flatnonzero(new), np.cumsum(new) - 1
+            end = np.r_[start[1:], len(sig)]
+            outside = np.flatnonzero(component != main[of])
+            for k in range(NEAREST):
+                for j in (start[which[outside]] - 1 - k, end[which[outside]] + k):
+                    i = outside[(j >= 0) & (j < len(sig))]
+                    j = j[(j >= 0) & (j < len(sig))]
+                    i, j = i[sig[i] == sig[j]], j[sig[i] == sig[j]]
+                    near = _possible(rows, i, j, threshold)
+                    if near.any():
+                        yield _pairs(rows, i[near], j[near])
 
     return run
 
@@ -160,41 +214,32 @@ def _firsts(threshold: float):
 def _apart(threshold: float):
     """All possible pairs of different components, of rows sorted by hash and length; a hash with one component gives none."""
 
-    def done(wait: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows = [np.concatenate(x) for x in zip(*wait, strict=True)]
-        start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-        end = np.r_[start[1:], len(rows[0])]
-        for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-            component, n = rows[2][s:e], rows[3][s:e]
-            if (component == component[0]).all():
-                continue
-            own, at, count = np.unique(component, return_inverse=True, return_counts=True)
-            main, here = int(np.argmax(count)), np.arange(s, e)
-            for i in np.flatnonzero(at != main).tolist():
-                # rows lie by length: only a stretch of them is near enough; each two small ones meet once
-                low, high = np.searchsorted(n, n[i] * threshold - 1e-6), np.searchsorted(n, n[i] / threshold + 1e-6, "right")
-                j = np.arange(low, high)
-                j = here[j[(at[j] == main) | (j > i)]]
-                j = j[_possible(rows, np.full(len(j), s + i), j, threshold)]
-                if j.size:
-                    yield _pairs(rows, np.full(len(j), s + i), j)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = _arrays(batch)
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut:
-                yield from done([*wait, [x[:cut] for x in now]])
-                wait = []
-            elif wait and wait[-1][0][-1] != now[0][0]:
-                yield from done(wait)
-                wait = []
-            wait.append([x[cut:] for x in now])
-        if wait:
-            yield from done(wait)
+        for rows in _whole_hashes(batches):
+            start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            size = np.diff(np.r_[start, len(rows[0])])
+            few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+            for k in range(1, SMALL):
+                i, j = few[:-k], few[k:]
+                here = rows[0][i] == rows[0][j]
+                i, j = i[here], j[here]
+                near = _possible(rows, i, j, threshold)
+                if near.any():
+                    yield _pairs(rows, i[near], j[near])
+            for s, e in zip(start[size > SMALL].tolist(), (start + size)[size > SMALL].tolist(), strict=True):
+                component, n = rows[2][s:e], rows[3][s:e]
+                if (component == component[0]).all():
+                    continue
+                own, at, count = np.unique(component, return_inverse=True, return_counts=True)
+                main, here = int(np.argmax(count)), np.arange(s, e)
+                for i in np.flatnonzero(at != main).tolist():
+                    # rows lie by length: only a stretch of them is near enough; each two small ones meet once
+                    low, high = np.searchsorted(n, n[i] * threshold - 1e-6), np.searchsorted(n, n[i] / threshold + 1e-6, "right")
+                    j = np.arange(low, high)
+                    j = here[j[(at[j] == main) | (j > i)]]
+                    j = j[_possible(rows, np.full(len(j), s + i), j, threshold)]
+                    if j.size:
+                        yield _pairs(rows, np.full(len(j), s + i), j)
 
     return run
 
@@ -214,7 +259,7 @@ def _may_resemble(na: int, x: np.ndarray, nb: int, y: np.ndarray, threshold: flo
     return min(na - only_a, nb - only_b) >= (na + nb) * threshold / (1 + threshold) - 1e-6
 
 
-def _share(x: np.ndarray, y: np.ndarray) -> int:
+def share(x: np.ndarray, y: np.ndarray) -> int:
     """How many values two sorted distinct arrays share."""
     if len(x) > len(y):
         x, y = y, x
@@ -225,9 +270,12 @@ def _share(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, pack, near) -> DataFrame:
-    """The pairs (a, b) of which near(of a, of b) holds, by what pack(text) gives: (n, bytes)."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+def _compared(texts: DataFrame, pairs: DataFrame, pack, near, kept: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) of which near(of a, of b) holds, by what pack(text) gives: (n, bytes). kept: what earlier calls packed; this one's is added."""
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    for earlier in kept:
+        ids = ids.join(earlier.select("doc"), "doc", "left_anti")
+    ids = checkpoint(ids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,15 +290,17 @@ def _compared(texts: DataFrame, pairs: DataFrame, pack, near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     wanted = texts.select("doc", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc", "left_semi")
-    packed = checkpoint(wanted.mapInArrow(encode, "doc long, n int, s binary"))
+    kept.append(checkpoint(wanted.mapInArrow(encode, "doc long, n int, s binary")))
+    packed = reduce(DataFrame.unionByName, kept)
     wide = pairs.join(packed.toDF("a", "na", "sa"), "a").join(packed.toDF("b", "nb", "sb"), "b")
     return wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float, bitmaps: list[DataFrame]) -> DataFrame:
     """Of pairs (a, b), checkpointed, those whose sets resemble each other by the threshold or more.
 
     Bitmaps of half a byte to a byte a hash are compared first; whole sets travel only for the few pairs these leave.
+    bitmaps: those of earlier rounds.
     """
 
     def bitmap(text: str) -> tuple[int, bytes]:
@@ -263,10 +313,10 @@ def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -
         return _may_resemble(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), threshold)
 
     def is_near(n: int, x: pa.Buffer, m: int, y: pa.Buffer) -> bool:
-        both = _share(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
+        both = share(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
         return both > 0 and both >= threshold * (n + m - both) - 1e-9
 
-    return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may)), whole, is_near)
+    return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may, bitmaps)), whole, is_near, [])
 
 
 def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, threshold: float) -> DataFrame:
@@ -280,15 +330,25 @@ def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, thresh
     sort = lambda rows, order: rows.repartition(n, "sig").sortWithinPartitions(*order)
     found = sort(prefix_rows(texts, sets, threshold), ORDER).mapInArrow(_shared, ROWS)
     shared = checkpoint(found.join(known, "doc").select("sig", "doc", F.col("component").alias("h"), "n", "place"))
-    tried = None
-    for order, pairs in ((ORDER, _neighbours), (("sig", "place", "n", "doc"), _firsts), (ORDER, _apart)):
-        left = sort(shared, order).mapInArrow(pairs(threshold), "a long, b long").distinct()
+    merged = tried = None  # merged: (component, whole) of the components that are part of another by now
+    bitmaps: list[DataFrame] = []
+    by_place = ("sig", "place", "n", "doc")
+
+    def now(rows: DataFrame, name: str) -> DataFrame:
+        if merged is None:
+            return rows
+        return rows.join(merged.toDF(name, "_whole"), name, "left").withColumn(name, F.coalesce("_whole", name)).drop("_whole")
+
+    for order, pairs in ((ORDER, _neighbours), (by_place, _firsts), (ORDER, _nearest), (ORDER, _apart)):
+        rows = now(shared, "h").select("sig", "doc", "h", "n", "place")
+        left = sort(rows, order).mapInArrow(pairs(threshold), "a long, b long").distinct()
         left = checkpoint(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
-        links = verified(texts, left, sets, threshold)
-        between = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = broadcast_if_small(checkpoint(connected_components(between)).toDF("component", "whole"), BROADCAST_IDS)
-        known = checkpoint(known.join(merged, "component", "left").select("doc", F.coalesce("whole", "component").alias("component")))
-        if pairs is not _apart:
-            tried = left if tried is None else tried.unionByName(left)
-            shared = checkpoint(shared.join(merged.withColumnRenamed("component", "h"), "h", "left").select("sig", "doc", F.coalesce("whole", "h").alias("h"), "n", "place"))
-    return known
+        tried = left if tried is None else tried.unionByName(left)
+        links = verified(texts, left, sets, threshold, bitmaps)
+        ends = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select("ca", "cb")
+        new = connected_components(now(now(ends, "ca"), "cb"), "ca", "cb").where("node <> component").toDF("component", "whole")
+        if merged is not None:
+            moved = merged.join(new.toDF("whole", "_further"), "whole", "left").select("component", F.coalesce("_further", "whole").alias("whole"))
+            new = moved.unionByName(new)
+        merged = broadcast_if_small(checkpoint(new), BROADCAST_IDS)
+    return now(known, "component").select("doc", "component")

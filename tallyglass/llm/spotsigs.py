@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions, table
 from .components import connected_components
-from .resemblance import resembling_components
+from .resemblance import resembling_components, share
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -91,7 +91,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard resemblance of two fingerprints; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = share(a, b)
     return both / (len(a) + len(b) - both)
 
 

@@ -163,7 +163,7 @@ def test_bitmaps_never_rule_out_what_resembles():
     for _ in range(400):
         a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 900)))
         b = np.unique(np.r_[rng.permutation(a)[: rng.integers(0, len(a) + 1)], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 300))])
-        both = resemblance._share(a, b)
+        both = resemblance.share(a, b)
         assert both == len(np.intersect1d(a, b))
         x, y = (np.frombuffer(resemblance._bitmap(v), np.uint8) for v in (a, b))
         may = resemblance._may_resemble(len(a), x, len(b), y, 0.8)
