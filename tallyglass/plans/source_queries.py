@@ -145,6 +145,30 @@ def _(read):
     return nested.trial_metadata(read("part").select(F.to_json(one).alias("value")))
 
 
+@query(
+    "trial_flatten_all",
+    "SELECT 'N' || s_nationkey AS nct, 'Balance' AS outcome, 'P' AS type, 'MEAN' AS param_type, s_name AS \"group\", 'all' AS category, s_acctbal AS value, '' AS spread, 'usd' AS units, 'measurement' AS source FROM supplier "
+    "UNION ALL SELECT 'N' || s_nationkey, 'Balance', 'P', 'p_value', '', '', count(*) / 128.0, '', '', 'analysis' FROM supplier GROUP BY s_nationkey "
+    "UNION ALL SELECT 'N' || s_nationkey, 'Balance', 'P', 'COUNT', s_name, 'suppliers', CAST(s_suppkey AS DOUBLE), '', 'suppliers', 'denominator' FROM supplier",
+)
+def _(read):
+    """A trial for each nation, its suppliers as groups."""
+    s, text_of, all_of = F.struct, lambda c: F.col(c).cast("string"), lambda x: F.collect_list(F.struct(*x))
+    group = F.concat(F.lit("G"), "s_suppkey")
+    one = read("supplier").groupBy("s_nationkey").agg(
+        all_of([group.alias("id"), F.col("s_name").alias("title")]).alias("groups"),
+        all_of([group.alias("groupId"), text_of("s_acctbal").alias("value"), F.lit("").alias("spread")]).alias("measurements"),
+        all_of([group.alias("groupId"), text_of("s_suppkey").alias("value")]).alias("counts"),
+        (F.count("*") / 128).cast("string").alias("pValue"),
+    )
+    outcome = s(
+        F.lit("Balance").alias("title"), F.lit("P").alias("type"), F.lit("MEAN").alias("paramType"), F.lit("usd").alias("unit"), "groups",
+        F.array(s(F.array(s(F.lit("all").alias("title"), "measurements")).alias("categories"))).alias("classes"), F.array(s("pValue")).alias("analyses"), F.array(s(F.lit("suppliers").alias("units"), "counts")).alias("denoms"),
+    )
+    made = one.select(F.to_json(s(F.concat(F.lit("N"), "s_nationkey").alias("id"), F.array(outcome).alias("outcomes"))).alias("value"))
+    return nested.flatten_trials(nested.parse_trials(made))
+
+
 @query("checkpointed_sink", "SELECT o_orderkey, count(*) AS n FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) GROUP BY o_orderkey")
 def _(read):
     """Finished orders first, as if the run broke off there, then all of them."""
