@@ -40,3 +40,15 @@ def test_driver_pages(spark, sf):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in u.op3_url_filter(spark, sf).collect()}
     assert got == {i: slow(x) for i, x in urls.items()}
+
+
+def test_rules_from_a_list(spark, tmp_path):
+    rows = [("*.Bad.example", None, "Block"), (".worse.example", "/x", "block"), ("ok.bad.example", "", "allow"), (None, "/y", "block"), ("odd.example", "", "perhaps")]
+    frame = spark.createDataFrame(rows, "host string, path string, verdict string")
+    frame.write.parquet(str(tmp_path / "list"))
+    frame.write.csv(str(tmp_path / "list.csv"))
+    urls = ["http://a.bad.example/", "http://ok.bad.example/z", "http://worse.example/y", "http://worse.example/xy", "http://odd.example/", "http://com/en/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for path in ("list", "list.csv"):
+        got = {r.page_id: (r.rule, r.verdict) for r in u.judge_urls(pages, u.read_rules(spark, str(tmp_path / path))).collect()}
+        assert got == {0: (None, "block"), 1: (None, "allow"), 2: (None, "allow"), 3: (None, "block"), 4: (None, "allow"), 5: ("com/en/", "block"), 6: (None, "allow")}
