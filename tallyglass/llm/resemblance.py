@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +96,14 @@ def _possible(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     return (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * threshold - 1e-6) & (left >= needed)
 
 
+PAIRS = "a long, b long, ca long, cb long"
+_PAIR_NAMES = ("a", "b", "ca", "cb")
+
+
 def _pairs(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = rows[1][i], rows[1][j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    """(a, b, ca, cb) with a < b: docs and their components."""
+    i, j = np.where(rows[1][i] <= rows[1][j], i, j), np.where(rows[1][i] <= rows[1][j], j, i)
+    return pa.RecordBatch.from_arrays([pa.array(rows[k][x]) for k in (1, 2) for x in (i, j)], _PAIR_NAMES)
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -270,12 +274,9 @@ def share(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, pack, near, kept: list[DataFrame]) -> DataFrame:
-    """The pairs (a, b) of which near(of a, of b) holds, by what pack(text) gives: (n, bytes). kept: what earlier calls packed; this one's is added."""
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    for earlier in kept:
-        ids = ids.join(earlier.select("doc"), "doc", "left_anti")
-    ids = checkpoint(ids)
+def _compared(texts: DataFrame, pairs: DataFrame, pack, near) -> DataFrame:
+    """The pairs (PAIRS) of which near(of a, of b) holds, by what pack(text) gives: (n, bytes)."""
+    ids = checkpoint(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,23 +285,21 @@ def _compared(texts: DataFrame, pairs: DataFrame, pack, near, kept: list[DataFra
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [near(n, x.as_buffer(), m, y.as_buffer()) for n, x, m, y in zip(na, batch.column(4), nb, batch.column(5), strict=True)]
+            na, nb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = [near(n, x.as_buffer(), m, y.as_buffer()) for n, x, m, y in zip(na, batch.column(6), nb, batch.column(7), strict=True)]
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], _PAIR_NAMES)
 
     wanted = texts.select("doc", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc", "left_semi")
-    kept.append(checkpoint(wanted.mapInArrow(encode, "doc long, n int, s binary")))
-    packed = reduce(DataFrame.unionByName, kept)
+    packed = checkpoint(wanted.mapInArrow(encode, "doc long, n int, s binary"))
     wide = pairs.join(packed.toDF("a", "na", "sa"), "a").join(packed.toDF("b", "nb", "sb"), "b")
-    return wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
+    return wide.select(*_PAIR_NAMES, "na", "nb", "sa", "sb").mapInArrow(compare, PAIRS)
 
 
-def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float, bitmaps: list[DataFrame]) -> DataFrame:
-    """Of pairs (a, b), checkpointed, those whose sets resemble each other by the threshold or more.
+def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """Of pairs (PAIRS), checkpointed, those whose sets resemble each other by the threshold or more.
 
     Bitmaps of half a byte to a byte a hash are compared first; whole sets travel only for the few pairs these leave.
-    bitmaps: those of earlier rounds.
     """
 
     def bitmap(text: str) -> tuple[int, bytes]:
@@ -316,7 +315,7 @@ def verified(texts: DataFrame, pairs: DataFrame, sets: Sets, threshold: float, b
         both = share(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
         return both > 0 and both >= threshold * (n + m - both) - 1e-9
 
-    return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may, bitmaps)), whole, is_near, [])
+    return _compared(texts, checkpoint(_compared(texts, pairs, bitmap, may)), whole, is_near)
 
 
 def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, threshold: float) -> DataFrame:
@@ -330,23 +329,19 @@ def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, thresh
     sort = lambda rows, order: rows.repartition(n, "sig").sortWithinPartitions(*order)
     found = sort(prefix_rows(texts, sets, threshold), ORDER).mapInArrow(_shared, ROWS)
     shared = checkpoint(found.join(known, "doc").select("sig", "doc", F.col("component").alias("h"), "n", "place"))
-    merged = tried = None  # merged: (component, whole) of the components that are part of another by now
-    bitmaps: list[DataFrame] = []
-    by_place = ("sig", "place", "n", "doc")
+    merged = None  # (component, whole) of the components that are part of another by now
 
     def now(rows: DataFrame, name: str) -> DataFrame:
         if merged is None:
             return rows
         return rows.join(merged.toDF(name, "_whole"), name, "left").withColumn(name, F.coalesce("_whole", name)).drop("_whole")
 
+    by_place = ("sig", "place", "n", "doc")
     for order, pairs in ((ORDER, _neighbours), (by_place, _firsts), (ORDER, _nearest), (ORDER, _apart)):
         rows = now(shared, "h").select("sig", "doc", "h", "n", "place")
-        left = sort(rows, order).mapInArrow(pairs(threshold), "a long, b long").distinct()
-        left = checkpoint(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
-        tried = left if tried is None else tried.unionByName(left)
-        links = verified(texts, left, sets, threshold, bitmaps)
-        ends = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select("ca", "cb")
-        new = connected_components(now(now(ends, "ca"), "cb"), "ca", "cb").where("node <> component").toDF("component", "whole")
+        left = checkpoint(sort(rows, order).mapInArrow(pairs(threshold), PAIRS).distinct())
+        links = verified(texts, left, sets, threshold)
+        new = connected_components(links, "ca", "cb").where("node <> component").toDF("component", "whole")
         if merged is not None:
             moved = merged.join(new.toDF("whole", "_further"), "whole", "left").select("component", F.coalesce("_further", "whole").alias("whole"))
             new = moved.unionByName(new)

@@ -16,6 +16,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +40,70 @@ ANCHORS = frozenset(
     el los las y es del una por con se su para no lo al""".split()
 )
 WORD = re.compile(r"[^\W_]+")
-#: Words whose hashes a process keeps: the common ones come back at once, and others cost as much as without.
-WORDS_KEPT = 30_000
+#: Characters whose words are hashed at once.
+CHUNK_CHARS = 1 << 18
 #: Rows of a range, up to RANGES ranges; beyond those the session's shuffle partitions say how many there are.
 ROWS_A_RANGE, RANGES = 4_000, 1 << 14
 #: Where rows without an id stand in the order.
 LAST = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    """Hashes of the words met lately; that of an anchor is odd."""
+class _Tables:
+    """Of every code point: whether it is part of a word, and a random number; and the powers by which word hashes are computed."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word in ANCHORS)
-        return h
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
 
+    def __init__(self) -> None:
+        self.in_word = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        self.number = np.random.default_rng(20080720).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
+        ones = np.ones(CHUNK_CHARS + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.r_[ones[:1], ones[1:] * np.uint64(self.BASE)], dtype=np.uint64)
+            self.inverse = np.cumprod(np.r_[ones[:1], ones[1:] * np.uint64(self.INVERSE)], dtype=np.uint64)
 
-_HASHES = _Hashes()
+
+@lru_cache(1)
+def _tables() -> _Tables:
+    return _Tables()
+
+
+def _hashes(text: str) -> np.ndarray:
+    """A hash of each word of a lower-cased text of up to CHUNK_CHARS characters: the same polynomial of its characters wherever it stands."""
+    t = _tables()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = t.in_word[codes]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(t.number[codes] * t.power[: len(codes)], out=total[1:])
+        h = (total[end] - total[start]) * t.inverse[start]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of a lower-cased text."""
+    if len(text) <= CHUNK_CHARS:
+        return _hashes(text)
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + CHUNK_CHARS)
+        while at < end < len(text) and text[end - 1].isalnum():
+            end -= 1
+        end = end if end > at else min(len(text), at + CHUNK_CHARS)  # a single word of so many characters counts as several
+        parts.append(_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+@lru_cache(1)
+def _anchors() -> np.ndarray:
+    return np.sort(word_hashes(" ".join(sorted(ANCHORS))))
 
 
 def _chained(*words: np.ndarray) -> np.ndarray:
@@ -72,17 +118,16 @@ def _chained(*words: np.ndarray) -> np.ndarray:
 
 def signatures(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's chains."""
-    words = WORD.findall((text or "").lower())
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    anchor = (h & np.uint64(1)).astype(bool)
+    h, anchors = word_hashes((text or "").lower()), _anchors()
+    anchor = anchors[np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)] == h
     content = h[~anchor]
     # content words before each anchor: the place of the first that follows it
     at = np.cumsum(~anchor)[anchor]
     has = at + CHAIN <= len(content)
     at = at[has]
     found = _chained(h[anchor][has], *(content[at + k] for k in range(CHAIN)))
-    if not len(found) or (len(words) > SPARSE and len(found) * SPARSE < len(words)):
-        n = min(CHAIN, len(words))
+    if not len(found) or (len(h) > SPARSE and len(found) * SPARSE < len(h)):
+        n = min(CHAIN, len(h))
         found = _chained(*(h[k : len(h) - n + 1 + k] for k in range(n))) if n else np.zeros(0, np.int64)
     return np.unique(found)
 

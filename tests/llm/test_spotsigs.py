@@ -110,6 +110,17 @@ def test_odd_rows(odd, spark, tmp_path):
     assert [r.class_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have others, and parts of a long text give the same."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["the", "été", "日本語", "a1", "x" * 30, "the_end", "ab", "ba", "don't", "½"]) + rng.choice([",", "", "-", "\n"]) for _ in range(400)).lower()
+    words = s.WORD.findall(text)
+    h = s.word_hashes(text).tolist()
+    assert len(h) == len(words) and len(dict(zip(words, h, strict=True))) == len(set(zip(words, h, strict=True))) == len(set(h))
+    monkeypatch.setattr(s, "CHUNK_CHARS", 40)
+    assert s.word_hashes(text).tolist() == h
+
+
 def test_few_anchors():
     words = [f"w{i}" for i in range(200)]
     text, edited = " ".join(["the", *words]), " ".join(["the", *words[:100], *(f"x{i}" for i in range(100))])
