@@ -24,7 +24,7 @@ from .components import connected_components
 
 BROADCAST_IDS = 500_000
 #: Texts, and hashes found in two of them, that say which hashes are common; on these only the number of candidates depends.
-COMMON_TEXTS, COMMON = 2_000, 100_000
+COMMON_TEXTS, COMMON = 8_000, 200_000
 #: Neighbours by length that the first round compares.
 NEIGHBOURS = 3
 #: Texts with the fewest rare hashes of their own that all others of a hash are compared with.
@@ -329,6 +329,7 @@ def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, thresh
     sort = lambda rows, order: rows.repartition(n, "sig").sortWithinPartitions(*order)
     found = sort(prefix_rows(texts, sets, threshold), ORDER).mapInArrow(_shared, ROWS)
     shared = checkpoint(found.join(known, "doc").select("sig", "doc", F.col("component").alias("h"), "n", "place"))
+    tried = None  # (a, b) that were compared
     merged = None  # (component, whole) of the components that are part of another by now
 
     def now(rows: DataFrame, name: str) -> DataFrame:
@@ -339,7 +340,9 @@ def resembling_components(texts: DataFrame, known: DataFrame, sets: Sets, thresh
     by_place = ("sig", "place", "n", "doc")
     for order, pairs in ((ORDER, _neighbours), (by_place, _firsts), (ORDER, _nearest), (ORDER, _apart)):
         rows = now(shared, "h").select("sig", "doc", "h", "n", "place")
-        left = checkpoint(sort(rows, order).mapInArrow(pairs(threshold), PAIRS).distinct())
+        left = sort(rows, order).mapInArrow(pairs(threshold), PAIRS).distinct()
+        left = checkpoint(left if tried is None else left.join(tried, ["a", "b"], "left_anti").select(*_PAIR_NAMES))
+        tried = left.select("a", "b") if tried is None else tried.unionByName(left.select("a", "b"))
         links = verified(texts, left, sets, threshold)
         new = connected_components(links, "ca", "cb").where("node <> component").toDF("component", "whole")
         if merged is not None:
