@@ -31,6 +31,8 @@ UNKNOWN = "und"
 _CHUNK_CHARS = 200_000
 #: Distinct trigrams whose vectors, and counts that, are in memory at once.
 _TRIGRAMS, _COUNTS = 20_000, 2_000_000
+#: Texts whose bundles are in memory at once.
+_ROWS = 500
 _DENSE = 3_000_000
 _UNIT = 1_000_000
 
@@ -153,9 +155,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        units = np.rint(_unit(whole_bundles(texts)).astype(np.float64) * _UNIT).astype(np.int64)
-        for lang, row in zip(langs, units, strict=True):
-            total[lang] = total.get(lang, 0) + row
+        for at in range(0, len(texts), _ROWS):
+            units = np.rint(_unit(whole_bundles(texts[at : at + _ROWS])).astype(np.float64) * _UNIT).astype(np.int64)
+            for lang, row in zip(langs[at : at + _ROWS], units, strict=True):
+                total[lang] = total.get(lang, 0) + row
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
 
@@ -190,11 +193,13 @@ def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: tu
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            units = _unit(whole_bundles(texts))
-            cosine = units @ prototypes.T if langs else np.zeros((len(units), 1), np.float32)
-            best, known = cosine.argmax(1) if len(units) else [], units.any(1)
-            found = [(langs[b] if langs else None) if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            scores = np.where(known, np.clip(cosine[np.arange(len(units)), best], 0, 1), 0).astype(float).round(6).tolist() if len(units) else []
+            found, scores = [], []
+            for at in range(0, len(texts), _ROWS):
+                units = _unit(whole_bundles(texts[at : at + _ROWS]))
+                cosine = units @ prototypes.T if langs else np.zeros((len(units), 1), np.float32)
+                best, known = cosine.argmax(1), units.any(1)
+                found += [(langs[b] if langs else None) if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                scores += np.where(known, np.clip(cosine[np.arange(len(units)), best], 0, 1), 0).astype(float).round(6).tolist()
             kept = [batch.column(names.index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
