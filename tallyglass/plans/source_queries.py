@@ -148,7 +148,7 @@ def _(read):
 @query(
     "trial_flatten_all",
     "SELECT 'N' || s_nationkey AS nct, 'Balance' AS outcome, 'P' AS type, 'MEAN' AS param_type, s_name AS \"group\", 'all' AS category, s_acctbal AS value, '' AS spread, 'usd' AS units, 'measurement' AS source FROM supplier "
-    "UNION ALL SELECT 'N' || s_nationkey, 'Balance', 'P', 'p_value', '', '', count(*) / 128.0, '', '', 'analysis' FROM supplier GROUP BY s_nationkey "
+    "UNION ALL SELECT 'N' || s_nationkey, 'Balance', 'P', 'p_value', '', '', count(*) / 50.0, '', '', 'analysis' FROM supplier GROUP BY s_nationkey "
     "UNION ALL SELECT 'N' || s_nationkey, 'Balance', 'P', 'COUNT', s_name, 'suppliers', CAST(s_suppkey AS DOUBLE), '', 'suppliers', 'denominator' FROM supplier",
 )
 def _(read):
@@ -159,7 +159,7 @@ def _(read):
         all_of([group.alias("id"), F.col("s_name").alias("title")]).alias("groups"),
         all_of([group.alias("groupId"), text_of("s_acctbal").alias("value"), F.lit("").alias("spread")]).alias("measurements"),
         all_of([group.alias("groupId"), text_of("s_suppkey").alias("value")]).alias("counts"),
-        (F.count("*") / 128).cast("string").alias("pValue"),
+        (F.count("*") / 50).cast("string").alias("pValue"),
     )
     outcome = s(
         F.lit("Balance").alias("title"), F.lit("P").alias("type"), F.lit("MEAN").alias("paramType"), F.lit("usd").alias("unit"), "groups",
