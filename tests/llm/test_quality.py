@@ -1,9 +1,12 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 
+from tallyglass.functions.storage import shared_dir
 from tallyglass.llm import quality as q
 
 
@@ -120,3 +123,30 @@ def test_odd_rows(spark, odd):
     assert q.classify(odd.where("false"), labels).count() == 0
     clash = odd.withColumnRenamed("source", "perplexity").withColumnRenamed("n_chars", "keep")
     assert q.classify(clash, labels.withColumn("lang", labels["quality"])).count() == 8
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False) if n else np.zeros(0, np.uint64))
+        assert (q._unpack_keys(q._pack_keys(keys)) == keys).all() and len(q._unpack_keys(q._pack_keys(keys))) == len(keys)
+    shard = keys >> np.uint64(7)
+    assert len(q._pack_keys(shard)) < 6 * len(keys)
+    ends = np.array([0, 5, (1 << 64) - 1], np.uint64)
+    assert (q._unpack_keys(q._pack_keys(ends)) == ends).all()
+
+
+def test_rounds_agree_and_leave_only_scores(spark, monkeypatch):
+    """Counting and scoring in rounds change nothing, and of the tables on the way nothing stays on disk."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    where = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in where.rglob("*") if p.is_file())
+    before = size()
+    one = {r.doc_id: r for r in q.classify(docs, labels).collect()}
+    assert size() - before < 300_000
+    monkeypatch.setattr(q, "ROUND_ROWS", 400)
+    three = q.classify(docs, labels).collect()
+    assert len(three) == len(one) == docs.count()
+    assert [r.perplexity for r in three] == [pytest.approx(one[r.doc_id].perplexity, rel=1e-9) for r in three]
+    assert [r.keep for r in three] == [one[r.doc_id].keep for r in three]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tallyglass")]
